@@ -70,7 +70,7 @@ Z - Ζ
 # Signs of the same shape.
 SAME_SIGN = {"‐": "-", "‑": "-", "ʼ": "’"}
 
-_TO: dict[str, dict[int, str]] = {"latin": {}, "cyrillic": {}}
+TO_SCRIPT: dict[str, dict[int, str]] = {"latin": {}, "cyrillic": {}}
 for _line in LOOK_ALIKES.split("\n"):
     if _line:
         _latin, _cyrillic, _greek = _line.split()
@@ -78,8 +78,8 @@ for _line in LOOK_ALIKES.split("\n"):
             if _own != "-":
                 for _c in (_latin, _cyrillic, _greek):
                     if _c not in ("-", _own):
-                        _TO[_script][ord(_c)] = _own
-for _table in _TO.values():
+                        TO_SCRIPT[_script][ord(_c)] = _own
+for _table in TO_SCRIPT.values():
     _table.update({ord(a): b for a, b in SAME_SIGN.items()})
 
 _CYRILLIC = re.compile("[Ѐ-ԯ]")
@@ -106,7 +106,7 @@ def visible(text: str) -> str:
 
 def skeleton(text: str, script: str) -> str:
     """The text in the look-alikes of ``script``, case set aside."""
-    s = visible(text).translate(_TO[script])
+    s = visible(text).translate(TO_SCRIPT[script])
     return unicodedata.normalize("NFD", unicodedata.normalize("NFC", s).lower()).strip()
 
 
@@ -121,7 +121,7 @@ def clean_form(text: str | None) -> str | None:
         return None
     s = unicodedata.normalize("NFC", visible(text)).strip()
     # letters that only one script has decide; without any, the more frequent script
-    own = {k: sum(1 for c in s if r.match(c) and ord(c) not in _TO[other]) for k, r, other in (("cyrillic", _CYRILLIC, "latin"), ("latin", _LATIN, "cyrillic"))}
+    own = {k: sum(1 for c in s if r.match(c) and ord(c) not in TO_SCRIPT[other]) for k, r, other in (("cyrillic", _CYRILLIC, "latin"), ("latin", _LATIN, "cyrillic"))}
     if own["cyrillic"] == own["latin"]:
         own = {"cyrillic": len(_CYRILLIC.findall(s)), "latin": len(_LATIN.findall(s))}
     script = "cyrillic" if own["cyrillic"] >= own["latin"] and own["cyrillic"] else "latin"

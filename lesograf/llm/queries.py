@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lesograf.llm import confusables, consensus, termfreq
+from lesograf.llm import confusables, consensus, encoding, termfreq
 from lesograf.sources.tables import read_table
 
 
@@ -27,6 +27,14 @@ def p4_normal_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.normal_tokens(read_table(spark, folder, "treebank_tokens"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_restored(spark, folder).select("record_type", "record_key")
+
+
+def p6_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled_records(*(read_table(spark, folder, t) for t in ("sentences", "treebank_tokens", "word_forms")))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     labels, _ = consensus.consensus(read_table(spark, folder, "annotations"))
     return labels.select("tok_key", "field", "label")
