@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lesograf.llm import confusables, consensus, encoding, termfreq
+from lesograf.llm import confusables, consensus, encoding, langid, termfreq
 from lesograf.sources.tables import read_table
 
 
@@ -48,5 +48,13 @@ def p7_annotators(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.consensus(read_table(spark, folder, "annotations"))[1]
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.found_languages(read_table(spark, folder, "documents"))
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.segments(read_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}

@@ -1,0 +1,24 @@
+"""Seed sentences of each language, written for this module: they anchor the language models, which
+are then fitted on labelled rows that agree with them."""
+
+SEEDS = {
+    "ru": "Вчера мы долго ждали поезд, потому что он опоздал на два часа. Когда я пришёл домой, мама уже спала, а брат читал книгу у окна. Она сказала, что не знает этого человека и никогда его не видела. Если завтра будет дождь, мы останемся дома и будем пить чай. Они купили хлеб, молоко и сыр в маленьком магазине около школы. Мой друг живёт в большом городе, но его родители остались в деревне. Это была очень странная история, которую никто не хотел слушать. Потом он открыл дверь, зажёг свет и увидел старое письмо на столе. Где ты был весь день? Я ничего об этом не слышал. Все они давно уехали, хотя обещали вернуться летом.",
+    "uk": "Учора ми довго чекали на потяг, тому що він запізнився на дві години. Коли я прийшов додому, мама вже спала, а брат читав книжку біля вікна. Вона сказала, що не знає цієї людини і ніколи її не бачила. Якщо завтра буде дощ, ми залишимося вдома й питимемо чай. Вони купили хліб, молоко та сир у маленькій крамниці поруч зі школою. Мій друг живе у великому місті, але його батьки залишилися в селі. Це була дуже дивна історія, яку ніхто не хотів слухати. Потім він відчинив двері, увімкнув світло і побачив на столі старого листа. Де ти був цілий день? Я нічого про це не чув. Усі вони давно поїхали, хоча обіцяли повернутися влітку.",
+    "be": "Учора мы доўга чакалі цягнік, таму што ён спазніўся на дзве гадзіны. Калі я прыйшоў дадому, маці ўжо спала, а брат чытаў кнігу каля акна. Яна сказала, што не ведае гэтага чалавека і ніколі яго не бачыла. Калі заўтра будзе дождж, мы застанемся дома і будзем піць гарбату. Яны купілі хлеб, малако і сыр у маленькай краме побач са школай. Мой сябар жыве ў вялікім горадзе, але яго бацькі засталіся ў вёсцы. Гэта была вельмі дзіўная гісторыя, якую ніхто не хацеў слухаць. Потым ён адчыніў дзверы, запаліў святло і ўбачыў на стале стары ліст. Дзе ты быў увесь дзень? Я нічога пра гэта не чуў. Усе яны даўно з'ехалі, хаця абяцалі вярнуцца летам.",
+    "bg": "Вчера дълго чакахме влака, защото той закъсня с два часа. Когато се прибрах вкъщи, майка ми вече спеше, а брат ми четеше книга до прозореца. Тя каза, че не познава този човек и никога не го е виждала. Ако утре вали дъжд, ще останем у дома и ще пием чай. Те купиха хляб, мляко и сирене от малкия магазин до училището. Моят приятел живее в голям град, но родителите му останаха на село. Това беше много странна история, която никой не искаше да слуша. После той отвори вратата, запали лампата и видя старото писмо на масата. Къде беше през целия ден? Не съм чувал нищо за това. Всички те отдавна заминаха, макар че обещаха да се върнат през лятото.",
+    "mk": "Вчера долго го чекавме возот, бидејќи доцнеше два часа. Кога дојдов дома, мајка ми веќе спиеше, а брат ми читаше книга покрај прозорецот. Таа рече дека не го познава овој човек и никогаш не го видела. Ако утре врне дожд, ќе останеме дома и ќе пиеме чај. Тие купија леб, млеко и сирење од малата продавница до училиштето. Мојот пријател живее во голем град, но неговите родители останаа на село. Тоа беше многу чудна приказна што никој не сакаше да ја слуша. Потоа тој ја отвори вратата, го запали светлото и го виде старото писмо на масата. Каде беше цел ден? Ништо не сум слушнал за тоа.",
+    "sr": "Јуче смо дуго чекали воз, јер је каснио два сата. Кад сам дошао кући, мајка је већ спавала, а брат је читао књигу поред прозора. Она је рекла да не познаје овог човека и да га никада није видела. Ако сутра буде падала киша, остаћемо код куће и пићемо чај. Купили су хлеб, млеко и сир у малој продавници поред школе. Мој пријатељ живи у великом граду, али су његови родитељи остали на селу. То је била врло чудна прича коју нико није желео да слуша. Затим је отворио врата, упалио светло и угледао старо писмо на столу. Где си био цео дан? Ништо о томе нисам чуо. Сви су они давно отишли, иако су обећали да ће се вратити на лето.",
+    "hr": "Jučer smo dugo čekali vlak, jer je kasnio dva sata. Kad sam došao kući, majka je već spavala, a brat je čitao knjigu pokraj prozora. Rekla je da ne poznaje ovog čovjeka i da ga nikada nije vidjela. Ako sutra bude padala kiša, ostat ćemo kod kuće i piti čaj. Kupili su kruh, mlijeko i sir u maloj trgovini pokraj škole. Moj prijatelj živi u velikom gradu, ali su njegovi roditelji ostali na selu. To je bila vrlo čudna priča koju nitko nije želio slušati. Zatim je otvorio vrata, upalio svjetlo i ugledao staro pismo na stolu. Gdje si bio cijeli dan? Ništa o tome nisam čuo.",
+    "en": "Yesterday we waited a long time for the train because it was two hours late. When I came home, my mother was already asleep and my brother was reading a book by the window. She said that she did not know this man and had never seen him before. If it rains tomorrow, we will stay at home and drink tea. They bought bread, milk and cheese in the little shop near the school. My friend lives in a big city, but his parents stayed in the village. It was a very strange story that nobody wanted to hear. Then he opened the door, turned on the light and saw an old letter on the table. Where have you been all day? I have heard nothing about it. All of them left long ago, although they promised to return in the summer.",
+    "de": "Gestern warteten wir lange auf den Zug, weil er zwei Stunden Verspätung hatte. Als ich nach Hause kam, schlief meine Mutter schon, und mein Bruder las am Fenster ein Buch. Sie sagte, dass sie diesen Mann nicht kenne und ihn nie gesehen habe. Wenn es morgen regnet, bleiben wir zu Hause und trinken Tee. Sie kauften Brot, Milch und Käse in dem kleinen Laden neben der Schule. Mein Freund wohnt in einer großen Stadt, aber seine Eltern sind auf dem Dorf geblieben. Es war eine sehr seltsame Geschichte, die niemand hören wollte. Dann öffnete er die Tür, machte das Licht an und sah einen alten Brief auf dem Tisch. Wo bist du den ganzen Tag gewesen? Ich habe nichts davon gehört. Sie sind alle längst abgereist, obwohl sie versprochen hatten, im Sommer zurückzukehren.",
+    "nl": "Gisteren wachtten we lang op de trein, omdat hij twee uur te laat was. Toen ik thuiskwam, sliep mijn moeder al en las mijn broer een boek bij het raam. Ze zei dat ze deze man niet kende en hem nooit eerder had gezien. Als het morgen regent, blijven we thuis en drinken we thee. Ze kochten brood, melk en kaas in de kleine winkel naast de school. Mijn vriend woont in een grote stad, maar zijn ouders zijn in het dorp gebleven. Het was een heel vreemd verhaal dat niemand wilde horen. Daarna opende hij de deur, deed het licht aan en zag een oude brief op de tafel. Waar ben je de hele dag geweest? Ik heb er niets over gehoord.",
+    "fr": "Hier nous avons longtemps attendu le train, parce qu'il avait deux heures de retard. Quand je suis rentré à la maison, ma mère dormait déjà et mon frère lisait un livre près de la fenêtre. Elle a dit qu'elle ne connaissait pas cet homme et qu'elle ne l'avait jamais vu. S'il pleut demain, nous resterons chez nous et nous boirons du thé. Ils ont acheté du pain, du lait et du fromage dans la petite boutique à côté de l'école. Mon ami habite une grande ville, mais ses parents sont restés au village. C'était une histoire très étrange que personne ne voulait écouter. Puis il a ouvert la porte, allumé la lumière et vu une vieille lettre sur la table. Où étais-tu toute la journée ? Je n'en ai rien entendu. Ils sont tous partis depuis longtemps, bien qu'ils aient promis de revenir cet été.",
+    "es": "Ayer esperamos mucho tiempo el tren porque llegó con dos horas de retraso. Cuando llegué a casa, mi madre ya dormía y mi hermano leía un libro junto a la ventana. Ella dijo que no conocía a este hombre y que nunca lo había visto. Si llueve mañana, nos quedaremos en casa y tomaremos té. Compraron pan, leche y queso en la pequeña tienda cerca de la escuela. Mi amigo vive en una ciudad grande, pero sus padres se quedaron en el pueblo. Era una historia muy extraña que nadie quería escuchar. Luego abrió la puerta, encendió la luz y vio una carta vieja sobre la mesa. ¿Dónde estuviste todo el día? No he oído nada de eso.",
+    "pt": "Ontem esperámos muito tempo pelo comboio, porque chegou com duas horas de atraso. Quando cheguei a casa, a minha mãe já dormia e o meu irmão lia um livro à janela. Ela disse que não conhecia este homem e que nunca o tinha visto. Se amanhã chover, ficaremos em casa e beberemos chá. Eles compraram pão, leite e queijo na pequena loja perto da escola. O meu amigo vive numa cidade grande, mas os pais dele ficaram na aldeia. Era uma história muito estranha que ninguém queria ouvir. Depois abriu a porta, acendeu a luz e viu uma carta velha em cima da mesa. Onde estiveste o dia todo? Não ouvi nada sobre isso.",
+    "it": "Ieri abbiamo aspettato a lungo il treno, perché aveva due ore di ritardo. Quando sono tornato a casa, mia madre dormiva già e mio fratello leggeva un libro vicino alla finestra. Lei ha detto che non conosceva quest'uomo e che non l'aveva mai visto. Se domani piove, resteremo a casa e berremo il tè. Hanno comprato pane, latte e formaggio nel piccolo negozio accanto alla scuola. Il mio amico vive in una grande città, ma i suoi genitori sono rimasti nel villaggio. Era una storia molto strana che nessuno voleva ascoltare. Poi ha aperto la porta, ha acceso la luce e ha visto una vecchia lettera sul tavolo. Dove sei stato tutto il giorno? Non ne ho sentito nulla.",
+    "pl": "Wczoraj długo czekaliśmy na pociąg, ponieważ spóźnił się dwie godziny. Kiedy wróciłem do domu, matka już spała, a brat czytał książkę przy oknie. Powiedziała, że nie zna tego człowieka i nigdy go nie widziała. Jeśli jutro będzie padać deszcz, zostaniemy w domu i będziemy pić herbatę. Kupili chleb, mleko i ser w małym sklepie obok szkoły. Mój przyjaciel mieszka w dużym mieście, ale jego rodzice zostali na wsi. To była bardzo dziwna historia, której nikt nie chciał słuchać. Potem otworzył drzwi, zapalił światło i zobaczył na stole stary list. Gdzie byłeś przez cały dzień? Nic o tym nie słyszałem. Wszyscy dawno wyjechali, chociaż obiecali wrócić latem.",
+    "cs": "Včera jsme dlouho čekali na vlak, protože měl dvě hodiny zpoždění. Když jsem přišel domů, matka už spala a bratr četl u okna knihu. Řekla, že toho člověka nezná a nikdy ho neviděla. Jestli bude zítra pršet, zůstaneme doma a budeme pít čaj. Koupili chléb, mléko a sýr v malém obchodě vedle školy. Můj přítel bydlí ve velkém městě, ale jeho rodiče zůstali na vesnici. Byl to velmi podivný příběh, který nikdo nechtěl poslouchat. Potom otevřel dveře, rozsvítil světlo a uviděl na stole starý dopis. Kde jsi byl celý den? Nic jsem o tom neslyšel.",
+    "is": "Í gær biðum við lengi eftir lestinni, því að hún var tveimur tímum of sein. Þegar ég kom heim var mamma þegar sofnuð og bróðir minn las bók við gluggann. Hún sagði að hún þekkti ekki þennan mann og hefði aldrei séð hann. Ef það rignir á morgun verðum við heima og drekkum te. Þau keyptu brauð, mjólk og ost í litlu búðinni hjá skólanum. Vinur minn býr í stórri borg en foreldrar hans urðu eftir í þorpinu. Þetta var mjög undarleg saga sem enginn vildi heyra. Svo opnaði hann dyrnar, kveikti ljósið og sá gamalt bréf á borðinu.",
+    "tr": "Dün treni uzun süre bekledik, çünkü iki saat gecikti. Eve geldiğimde annem çoktan uyumuştu ve kardeşim pencerenin yanında kitap okuyordu. Bu adamı tanımadığını ve onu hiç görmediğini söyledi. Yarın yağmur yağarsa evde kalıp çay içeceğiz. Okulun yanındaki küçük dükkândan ekmek, süt ve peynir aldılar. Arkadaşım büyük bir şehirde yaşıyor ama ailesi köyde kaldı.",
+    "kk": "Кеше біз пойызды ұзақ күттік, өйткені ол екі сағатқа кешікті. Мен үйге келгенде анам ұйықтап қалған еді, ал інім терезенің жанында кітап оқып отырды. Ол бұл адамды танымайтынын және оны ешқашан көрмегенін айтты. Егер ертең жаңбыр жауса, біз үйде қалып шай ішеміз. Олар мектептің жанындағы шағын дүкеннен нан, сүт және ірімшік сатып алды.",
+}
