@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lesograf.llm import confusables, consensus, encoding, langid, termfreq
+from lesograf.llm import confusables, consensus, encoding, langid, sentences, termfreq
 from lesograf.sources.tables import read_table
 
 
@@ -27,6 +27,14 @@ def p4_normal_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return confusables.normal_tokens(read_table(spark, folder, "treebank_tokens"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(read_table(spark, folder, "raw_texts")).select("text_id", "start_char", "end_char")
+
+
+def p5_units(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(read_table(spark, folder, "raw_texts"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_restored(spark, folder).select("record_type", "record_key")
 
