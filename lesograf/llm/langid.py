@@ -328,8 +328,14 @@ def _whole(segments: list[tuple[int, int, str, float, int]]) -> list[tuple[int,
 
 
 def sample(documents: DataFrame) -> list[tuple[str, str]]:
-    """At most SAMPLE_ROWS labelled rows of SAMPLE_CHARS characters, by least hash of doc_id."""
-    rows = documents.where(F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_CHARS)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
+    """At most SAMPLE_ROWS labelled rows of SAMPLE_CHARS characters, by least hash of doc_id.
+
+    Hashes above what SAMPLE_ROWS of all rows need are dropped where they are read, so that the
+    driver gets little more than the sample, however many tasks there are."""
+    share = min(1.0, SAMPLE_ROWS / max(1, documents.count()))
+    h = F.xxhash64("doc_id")
+    rows = documents.where(F.pmod(h, F.lit(1 << 40)) <= int(share * (1 << 40)))
+    rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_CHARS)).select("lang", "text", F.pmod(h, F.lit(1 << 40)).alias("h"))
     return [(r["lang"], r["text"]) for r in rows.orderBy("h").limit(SAMPLE_ROWS).collect()]
 
 
