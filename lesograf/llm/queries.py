@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lesograf.llm import confusables, consensus, encoding, langid, sentences, termfreq
+from lesograf.llm import confusables, consensus, encoding, langid, quality, sentences, splitting, termfreq
 from lesograf.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = splitting.split_oversized(read_table(spark, folder, "sentences"))
+    return pieces.where("oversized AND piece = 0").select("sent_key")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.split_oversized(read_table(spark, folder, "sentences"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_quality(spark, folder).where("NOT prose").select("sent_key")
+
+
+def p2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(read_table(spark, folder, "sentences"), read_table(spark, folder, "word_forms"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     counts = termfreq.term_frequencies(read_table(spark, folder, "treebank_tokens"), read_table(spark, folder, "sentences"))
     return counts.where("mark IS NOT NULL").select("field", "term", "mark")
