@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lesograf.llm import confusables, consensus, encoding, langid, quality, sentences, splitting, termfreq
+from lesograf.llm import confusables, consensus, encoding, langid, mixing, packing, quality, sentences, splitting, termfreq
 from lesograf.sources.tables import read_table
 
 
@@ -73,6 +73,22 @@ def p7_annotators(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.consensus(read_table(spark, folder, "annotations"))[1]
 
 
+def p8_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents"))
+
+
+def p8_certificate(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.certificate(packing.pack(read_table(spark, folder, "documents")))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return langid.found_languages(read_table(spark, folder, "documents"))
 

@@ -102,9 +102,11 @@ def atoms_of(text: str, spans: list[tuple[int, int]] | None, max_chars: int) ->
             words.insert(0, (len(text) - len(text.lstrip()), words[0][0]))
     out = []
     for a, b in words:
-        while b - a > max_chars:
-            out.append((a, a + max_chars // 2))
-            a += max_chars // 2
+        if b - a > max_chars:  # a single word too long for a piece
+            step = max(1, max_chars // 20)
+            while b - a > step:
+                out.append((a, a + step))
+                a += step
         out.append((a, b))
     return out
 
