@@ -21,6 +21,7 @@ from lesograf.sources.tables import settle
 TOPICS = 64  # cells that topics are hashed to: a bound whatever genre holds
 BINS = 4000
 RAKINGS = 60
+REACH = 0.9  # the default size lets sources with so much of the target weight reach their shares
 
 
 def source_key(source: Column) -> Column:
@@ -48,6 +49,16 @@ def allot(available: dict[str, float], share: dict[str, float], repeats: dict[st
     return out
 
 
+def reachable(available: dict[str, float], share: dict[str, float], repeats: dict[str, int], reach: float = REACH) -> float:
+    """Greatest total at which sources with ``reach`` of the target weight can give their full share."""
+    short = 0.0
+    for limit, weight in sorted((available.get(s, 0.0) * repeats[s] / share[s], share[s]) for s in share if share[s] > 0):
+        short += weight
+        if short > (1 - reach) * sum(share.values()) + 1e-9:
+            return limit
+    return 0.0
+
+
 def rake(cells: list[tuple[str, str, int]], tokens: np.ndarray, allotted: dict[str, float], repeats: dict[str, int]) -> np.ndarray:
     """Weight of every cell (copies of each of its documents), at most max_repeats."""
     if not len(cells):
@@ -90,7 +101,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     documents: ``doc_id, source, tokens, copies`` of those taken at least once. shares: ``source,
     target_share, max_repeats, available, allotted, tokens, share, documents, copies`` of every
     target, absent sources with zeros. ``total`` is the size of the collection in tokens, by default
-    that of the documents whose source has a target. Sources are compared in one spelling; documents
+    what ``reachable`` gives: more would dilute the shares, less would waste documents. Sources are compared in one spelling; documents
     without source, or of a source without target, are left out; a NULL share or repeat counts as 0.
     """
     spark = documents.sparkSession
@@ -107,7 +118,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     available: dict[str, float] = {}
     for (s, _, _), n in zip(cells, tokens):
         available[s] = available.get(s, 0.0) + n
-    allotted = allot(available, share, repeats, float(total if total is not None else tokens.sum()))
+    allotted = allot(available, share, repeats, float(total) if total is not None else reachable(available, share, repeats))
     weight = rake(cells, tokens, allotted, repeats)
     weights = spark.createDataFrame([(*c, float(w)) for c, w in zip(cells, weight)], "key string, language string, topic int, weight double")
     draw = (F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 40)) / float(1 << 40)).alias("draw")
