@@ -5,11 +5,561 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lesograf.functions import scalars as S
+from lesograf.functions import udfs
+from lesograf.operators import align, audit, decode, metrics, profile, report, sampling, tokenize, validate
+from lesograf.plans import views as V
+from lesograf.sources import conllu, sinks
+from lesograf.sources.tables import read_table
+from lesograf.streaming.treebank import windowed_counts
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- reports over the corpus -------------------------------------------------------------------
+
+
+@query(f"""SELECT dataset, count(n) AS count, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS min, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50,
+ quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS max
+ FROM (SELECT {V.DATASET} AS dataset, len(tokens)::INT AS n FROM sentences WHERE tokens IS NOT NULL) GROUP BY dataset""")
+def length_describe(spark, d):
+    r = report.describe(V.parsed(spark, d).select("dataset", F.size("tokens").alias("length")), "length", "dataset")
+    return r.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query(f"SELECT {V.DATASET} AS dataset, coalesce(genre, 'unknown') AS genre, count(*) AS n FROM sentences WHERE tokens IS NOT NULL GROUP BY 1, 2")
+def genre_counts(spark, d):
+    return report.group_counts(V.parsed(spark, d).withColumn("genre", V.genre(1)), "dataset", "genre")
+
+
+@query("SELECT coalesce(nullif(genre, ''), nullif(source_file, ''), 'unknown') AS genre, count(*) AS n FROM sentences GROUP BY 1")
+def genre_or_source_counts(spark, d):
+    return report.group_counts(read_table(spark, d, "sentences").select(V.genre(2).alias("genre")), "genre")
+
+
+_PROFILE2 = f"""WITH RECURSIVE {V.GOLD}, {V.TREE}, {V.CROSS},
+c AS (SELECT sent_key, count(*) FILTER (pos = 'PRON') AS pron, count(*) FILTER (pos = 'PROPN') AS propn, count(*) FILTER (pos = 'VERB') AS verbs,
+  count(*) FILTER (contains(text, '-') AND length(text) > 1) AS hyph, max(length(text)) AS longest,
+  bool_or(coalesce(lower(lemma) IN ({{v2}}), false)) AS said2, bool_or(coalesce(coalesce(nullif(lower(lemma), ''), lower(text)) IN ({{v3}}), false)) AS said3,
+  bool_or(coalesce(coalesce(nullif(lower(lemma), ''), lower(text)) IN ({{v1}}), false)) AS said1 FROM gold GROUP BY sent_key),
+base AS (SELECT s.sent_key, s.text, len(s.tokens)::INT AS length, d.v1, d.v2, d.v3, x.sent_key IS NOT NULL AS non_proj, coalesce(contains(lower(s.source_file), 'cobald'), false)::INT AS bonus,
+  coalesce(c.pron, 0)::INT AS pronouns, coalesce(c.propn, 0)::INT AS propn, coalesce(c.verbs, 0)::INT AS verbs, coalesce(c.hyph, 0)::INT AS hyph, coalesce(c.longest, 0)::INT AS longest,
+  coalesce(regexp_matches(ltrim(s.text, chr(32) || chr(10) || chr(13) || chr(9) || chr(160)), '^[-—–]'), false) AS dash, coalesce(regexp_matches(ltrim(s.text, chr(32) || chr(10) || chr(13) || chr(9) || chr(160)), '^[-—–−]'), false) AS dash3,
+  coalesce(contains(s.text, '«') AND contains(s.text, '»'), false) AS quoted, coalesce(c.said1, false) AS said1, coalesce(c.said2, false) AS said2, coalesce(c.said3, false) AS said3
+  FROM sentences s JOIN depths d USING (sent_key) LEFT JOIN crossed x USING (sent_key) LEFT JOIN c USING (sent_key) WHERE s.tokens IS NOT NULL)
+""".format(**{k: ", ".join(f"'{w}'" for w in v) for k, v in (("v1", profile.VERBS_V1), ("v2", profile.VERBS_V2), ("v3", profile.VERBS_V3))})
+
+
+@query(_PROFILE2 + "SELECT sent_key, length AS text_len, (dash OR quoted) AND said1 AS is_dialogue, v1 AS tree_depth, non_proj AS non_projectivity FROM base")
+def profile_v1(spark, d):
+    return profile.profile_v1(read_table(spark, d, "sentences"))
+
+
+@query(
+    _PROFILE2
+    + r"""SELECT sent_key, (v2 + 10 * non_proj::INT) * 1.5::DOUBLE + 15.0::DOUBLE * (dash AND said2)::INT + 2.0::DOUBLE * pronouns + 20.0::DOUBLE * bonus AS score, length, v2 AS depth, non_proj, v2 + 10 * non_proj::INT AS syntax_complexity,
+ dash AND said2 AS is_dialogue, pronouns, CASE WHEN length > 0 THEN propn::DOUBLE / length ELSE 0 END AS propn_ratio, CASE WHEN length > 0 THEN hyph::DOUBLE / length ELSE 0 END AS hyphen_density,
+ coalesce(len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+\.'), lambda x: regexp_full_match(x, '[А-ЯЁA-Z]\.'))), 0)::INT AS abbr_count, coalesce(len(regexp_extract_all(text, '[.?!,:;\-]{2,}')), 0)::INT AS punct_clusters, longest AS max_token_len FROM base"""
+)
+def profile_v2(spark, d):
+    return profile.profile_v2(read_table(spark, d, "sentences"))
+
+
+@query(
+    _PROFILE2
+    + """SELECT sent_key, (v3 + 10 * non_proj::INT) * 1.5::DOUBLE + 15.0::DOUBLE * (dash3 AND said3)::INT + 2.0::DOUBLE * pronouns + 20.0::DOUBLE * bonus + verbs AS score, (dash3 AND said3)::INT::DOUBLE AS dialogue_score,
+ v3 + 10.0::DOUBLE * non_proj::INT AS syntax_complexity, v3 AS depth, non_proj, pronouns, propn, verbs, length FROM base"""
+)
+def profile_v3(spark, d):
+    return profile.profile_v3(read_table(spark, d, "sentences"))
+
+
+def _depth(version: int):
+    f = getattr(profile, f"depth_v{version}")
+
+    def run(spark, d):
+        return V.parsed(spark, d).select("sent_key", f(F.col("tokens")).alias("depth"))
+
+    run.__name__ = f"tree_depth_v{version}"
+    return query(f"WITH RECURSIVE {V.GOLD}, {V.TREE} SELECT sent_key, v{version} AS depth FROM depths")(run)
+
+
+tree_depth_v1, tree_depth_v2, tree_depth_v3 = map(_depth, (1, 2, 3))
+
+
+@query(f"WITH {V.GOLD}, {V.CROSS} SELECT s.sent_key, c.sent_key IS NOT NULL AS non_proj FROM sentences s LEFT JOIN crossed c USING (sent_key) WHERE s.tokens IS NOT NULL")
+def non_projectivity(spark, d):
+    return V.parsed(spark, d).select("sent_key", profile.non_projective(F.col("tokens")).alias("non_proj"))
+
+
+@query(f"WITH {V.GOLD}, {V.CROSS} SELECT a.sent_key, count(*) AS crossings FROM arcs a JOIN arcs b ON a.sent_key = b.sent_key AND a.s < b.s AND b.s < a.e AND a.e < b.e GROUP BY a.sent_key")
+def arc_crossings(spark, d):
+    arcs = V.gold_words(spark, d).where("head_id > 0").select("sent_key", F.least("id", "head_id").alias("s"), F.greatest("id", "head_id").alias("e"))
+    b = arcs.select("sent_key", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    return arcs.join(b, "sent_key").where("s < s2 AND s2 < e AND e < e2").groupBy("sent_key").agg(F.count(F.lit(1)).alias("crossings"))
+
+
+_BY_DATASET = _PROFILE2 + f", p AS (SELECT b.*, {V.DATASET} AS dataset, genre, (v2 + 10 * non_proj::INT) * 1.5::DOUBLE + 15.0::DOUBLE * (dash AND said2)::INT + 2.0::DOUBLE * pronouns + 20.0::DOUBLE * bonus AS score FROM base b JOIN sentences USING (sent_key)) "
+
+
+def _profiled(spark, d):
+    s = read_table(spark, d, "sentences")
+    keep = s.select("sent_key", S.dataset_name(F.col("source_file")).alias("dataset"), "genre", "sent_id")
+    return profile.profile_v2(s).join(keep, "sent_key")
+
+
+@query(_BY_DATASET + "SELECT dataset, round(avg((dash AND said2)::INT) * 100, 6) AS percent FROM p GROUP BY dataset")
+def dialogue_percent(spark, d):
+    return report.percent_true(_profiled(spark, d), "is_dialogue", "dataset").withColumn("percent", F.round("percent", 6))
+
+
+@query(_BY_DATASET + "SELECT dataset, quantile_cont(score, 0.9) AS p90 FROM p GROUP BY dataset")
+def score_p90(spark, d):
+    return _profiled(spark, d).groupBy("dataset").agg(F.percentile("score", F.lit(0.9)).alias("p90"))
+
+
+@query(_BY_DATASET + "SELECT floor(quantile_cont(length, 0.9))::INT AS length_p90, floor(quantile_cont(score, 0.9))::INT AS score_p90, '10 < length < ' || floor(quantile_cont(length, 0.9))::INT || ' and score > ' || floor(quantile_cont(score, 0.9))::INT AS query FROM p WHERE dataset = 'TAIGA' AND regexp_matches(lower(genre), 'fiction|lit|prose|social')")
+def recommendation(spark, d):
+    return report.recommendation(_profiled(spark, d), F.col("genre"), F.col("dataset"))
+
+
+@query("SELECT count(*) AS sentences, round(avg(len(tokens)), 6) AS avg_length, max(len(tokens))::INT AS max_length FROM sentences WHERE tokens IS NOT NULL")
+def eda(spark, d):
+    return report.eda(V.parsed(spark, d).select(F.size("tokens").alias("length"))).withColumn("avg_length", F.round("avg_length", 6))
+
+
+@query("SELECT length, n, sum(n) OVER (ORDER BY length) / sum(n) OVER () AS ecdf FROM (SELECT len(tokens)::INT AS length, count(*) AS n FROM sentences WHERE tokens IS NOT NULL GROUP BY 1)".replace("length, n, ", "length, "))
+def length_ecdf(spark, d):
+    return report.ecdf(V.parsed(spark, d).select(F.size("tokens").alias("length")), "length")
+
+
+@query("""WITH l AS (SELECT len(tokens)::DOUBLE AS x FROM sentences WHERE tokens IS NOT NULL), e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 20 AS w FROM l)
+ SELECT least(floor((x - lo) / w), 19)::INT AS bin, lo + least(floor((x - lo) / w), 19)::INT * w AS low, lo + (least(floor((x - lo) / w), 19)::INT + 1) * w AS high, count(*) AS n FROM l, e GROUP BY ALL""")
+def length_histogram(spark, d):
+    return report.histogram(V.parsed(spark, d).select(F.size("tokens").alias("length")), "length")
+
+
+@query(f"WITH {V.GOLD} SELECT pos, count(*) AS n FROM gold GROUP BY pos")
+def upos_counts(spark, d):
+    return report.group_counts(V.gold_words(spark, d), "pos")
+
+
+# --- metadata and JSON -------------------------------------------------------------------------
+
+
+@query("""SELECT sent_key, coalesce(genre, 'unknown') AS genre, CASE WHEN json_valid(metrics) THEN TRY_CAST(metrics->>'$.score' AS DOUBLE) END AS score, CASE WHEN json_valid(metrics) THEN TRY_CAST(metrics->>'$.length' AS INT) END AS length,
+ CASE WHEN json_valid(metrics) THEN TRY_CAST(metrics->>'$.depth' AS INT) END AS depth, CASE WHEN json_valid(metrics) THEN TRY_CAST(metrics->>'$.is_dialogue' AS BOOLEAN) END AS is_dialogue FROM sentences""")
+def metadata_frame(spark, d):
+    m = F.from_json("metrics", "score double, length int, depth int, is_dialogue boolean")
+    broken = F.from_json("metrics", "score double, length int, depth int, is_dialogue boolean, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"]
+    s = read_table(spark, d, "sentences").select("sent_key", V.genre(1).alias("genre"), m.alias("m"), broken.alias("broken"))
+    return s.select("sent_key", "genre", *(F.when(F.col("broken").isNull(), F.col(f"m.{c}")).alias(c) for c in ("score", "length", "depth", "is_dialogue")))
+
+
+@query("SELECT CASE WHEN json_valid(metrics) THEN 'json' WHEN metrics IS NULL THEN 'none' ELSE 'broken' END AS state, count(*) AS n FROM sentences GROUP BY 1")
+def metrics_states(spark, d):
+    f = metadata_frame_state(spark, d)
+    return report.group_counts(f, "state")
+
+
+def metadata_frame_state(spark, d):
+    bad = F.from_json("metrics", "score double, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})["_corrupt"]
+    return read_table(spark, d, "sentences").select(F.when(F.col("metrics").isNull(), "none").when(bad.isNull(), "json").otherwise("broken").alias("state"))
+
+
+def _slice(name: str, text: str, sql: str):
+    def run(spark, d):
+        return sampling.where_query(metadata_frame(spark, d), text).select("sent_key", "genre", "length", "score")
+
+    run.__name__ = f"query_slice_{name}"
+    return query(f"SELECT sent_key, genre, length, score FROM ({_SQL['metadata_frame']}) WHERE {sql}")(run)
+
+
+_slice("hard", "genre.str.contains('fiction', case=False, na=False) and is_dialogue == True and score > 5", "contains(lower(genre), 'fiction') AND is_dialogue AND score > 5")
+_slice("medium", "genre.str.contains('news', case=False, na=False) and is_dialogue == False and 3 < length < 20", "contains(lower(genre), 'news') AND is_dialogue = false AND length > 3 AND length < 20")
+_slice("general", "genre != 'fiction' and length <= 12", "genre IS DISTINCT FROM 'fiction' AND length <= 12")
+
+
+# --- validation --------------------------------------------------------------------------------
+
+_ERRORS = """e AS (SELECT sent_key, sent_id, list_concat(CASE WHEN sent_id IS NULL THEN ['sent_id'] ELSE [] END,
+ list_transform(list_filter(coalesce(tokens, []), lambda t: coalesce(t.text, '') = ''), lambda t: 'form:' || t.id),
+ list_transform(list_filter(coalesce(tokens, []), lambda t: t.head_id <> 0 AND NOT list_contains(list_transform(coalesce(tokens, []), lambda u: u.id), t.head_id)), lambda t: 'head:' || t.id),
+ CASE WHEN text IS NULL THEN ['text'] ELSE [] END,
+ CASE WHEN len(list_filter(coalesce(tokens, []), lambda t: t.head_id = 0)) <> 1 THEN ['roots:' || len(list_filter(coalesce(tokens, []), lambda t: t.head_id = 0))] ELSE [] END) AS errors FROM sentences)"""
+_DUPLICATES = ", f AS (SELECT *, sent_id IS NOT NULL AND row_number() OVER (PARTITION BY sent_id ORDER BY sent_key) > 1 AS duplicate FROM e)"
+
+
+@query(f"WITH {_ERRORS} SELECT sent_key, array_to_string(errors, ';') AS errors FROM e WHERE len(errors) > 0")
+def validation_errors(spark, d):
+    e = validate.sentence_errors(read_table(spark, d, "sentences"))
+    return e.where(F.size("errors") > 0).select("sent_key", F.array_join("errors", ";").alias("errors"))
+
+
+@query(f"WITH {_ERRORS}{_DUPLICATES} SELECT count(*) AS total, count_if(len(errors) = 0 AND NOT duplicate) AS valid, count_if(len(errors) > 0 OR duplicate) AS invalid, count_if((len(errors) > 0 OR duplicate) AND sent_id IS NOT NULL) AS reported, count_if(duplicate) AS duplicates FROM f")
+def validation_stats(spark, d):
+    return validate.batch_stats(read_table(spark, d, "sentences"))
+
+
+@query(f"WITH {_ERRORS}{_DUPLICATES} SELECT sent_key, sent_id FROM f WHERE duplicate")
+def duplicate_ids(spark, d):
+    return validate.with_duplicates(read_table(spark, d, "sentences").select("sent_key", "sent_id")).where("duplicate").select("sent_key", "sent_id")
+
+
+@query("SELECT sent_id, max(sent_key) AS sent_key, min(sent_key) AS position FROM sentences WHERE sent_id IS NOT NULL GROUP BY sent_id")
+def last_delivery(spark, d):
+    return validate.last_wins(read_table(spark, d, "sentences").where("sent_id IS NOT NULL")).select("sent_id", "sent_key", "position")
+
+
+@query(f"WITH {V.GOLD} SELECT g.sent_key, g.id, g.head_id FROM gold g WHERE g.head_id <> 0 AND NOT EXISTS (SELECT 1 FROM gold h WHERE h.sent_key = g.sent_key AND h.id = g.head_id)")
+def dangling_heads(spark, d):
+    g = V.gold_words(spark, d).select("sent_key", "id", "head_id")
+    return g.where("head_id <> 0").join(g.select("sent_key", F.col("id").alias("head_id")), ["sent_key", "head_id"], "left_anti").select("sent_key", "id", "head_id")
+
+
+@query("SELECT tok_key FROM treebank_tokens WHERE char_end > char_start")
+def valid_offsets(spark, d):
+    return validate.valid_offsets(read_table(spark, d, "treebank_tokens")).select("tok_key")
+
+
+@query("SELECT CASE WHEN regexp_full_match(id, '[0-9]+') THEN 'word' WHEN regexp_full_match(id, '[0-9]+-[0-9]+') THEN 'range' WHEN regexp_full_match(id, '[0-9]+\\.[0-9]+') THEN 'empty' ELSE 'bad' END AS kind, count(*) AS n FROM treebank_tokens GROUP BY 1")
+def id_kinds(spark, d):
+    return report.group_counts(read_table(spark, d, "treebank_tokens").select(S.id_kind(F.col("id")).alias("kind")), "kind")
+
+
+# --- selections --------------------------------------------------------------------------------
+
+
+@query(_BY_DATASET + "SELECT sent_key, length FROM p WHERE dash AND said2 ORDER BY length DESC, sent_key LIMIT 1000")
+def topk_dialogues(spark, d):
+    return sampling.top_k(_profiled(spark, d).where("is_dialogue"), ["length"], 1000).select("sent_key", "length")
+
+
+@query(_BY_DATASET + "SELECT sent_key, non_proj, v2 AS depth FROM p ORDER BY non_proj DESC, v2 DESC, sent_key LIMIT 500")
+def topk_complex(spark, d):
+    return sampling.top_k(_profiled(spark, d), ["non_proj", "depth"], 500).select("sent_key", "non_proj", "depth")
+
+
+@query("SELECT sent_key, md5(sent_key::VARCHAR) AS digest FROM sentences ORDER BY digest, sent_key LIMIT 1000")
+def hash_sample(spark, d):
+    s = sampling.hash_sample(read_table(spark, d, "sentences").select("sent_key"), 1000)
+    return s.select("sent_key", F.md5(F.col("sent_key").cast("string")).alias("digest"))
+
+
+_SPLIT = _PROFILE2 + """, q AS (SELECT sent_key, (v3 + 10 * non_proj::INT) * 1.5::DOUBLE + 15.0::DOUBLE * (dash3 AND said3)::INT + 2.0::DOUBLE * pronouns + 20.0::DOUBLE * bonus + verbs AS score, (dash3 AND said3)::INT::DOUBLE AS dialogue_score, v3 + 10.0::DOUBLE * non_proj::INT AS syntax_complexity, pronouns FROM base),
+ z AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY score DESC, sent_key) <= floor(count(*) OVER () * 0.15) THEN 'dev' ELSE 'train' END AS set FROM q) """
+
+
+@query(_SPLIT + "SELECT sent_key, set FROM z")
+def split_fraction(spark, d):
+    return sampling.split_by_fraction(profile.profile_v3(read_table(spark, d, "sentences")), "score", 0.15).select("sent_key", "set")
+
+
+@query(_SPLIT + "SELECT set, count(*) AS size, round(avg(score), 6) AS mean_score, round(avg(syntax_complexity), 6) AS mean_syntax_complexity, round(avg(dialogue_score), 6) AS dialogue_ratio, round(avg(pronouns), 6) AS mean_pronouns FROM z GROUP BY set")
+def split_summary(spark, d):
+    s = report.split_summary(sampling.split_by_fraction(profile.profile_v3(read_table(spark, d, "sentences")), "score", 0.15))
+    return s.select("set", "size", *(F.round(c, 6).alias(c) for c in s.columns[2:]))
+
+
+@query("SELECT sent_key, printf('%s_%07d', upper(split_part(source_file, '_', 1)), row_number() OVER (ORDER BY source_file, sent_key)) AS sent_id_new FROM sentences WHERE source_file IS NOT NULL")
+def standard_ids(spark, d):
+    s = sampling.with_ordinal(read_table(spark, d, "sentences").where("source_file IS NOT NULL").select("sent_key", "source_file"), "source_file", "sent_key")
+    return s.select("sent_key", S.standard_id(F.col("source_file"), F.col("ordinal")).alias("sent_id_new"))
+
+
+@query("SELECT sent_key FROM sentences WHERE sent_id IN (SELECT sent_id FROM sentences WHERE genre = 'fiction')")
+def keep_ids(spark, d):
+    s = read_table(spark, d, "sentences")
+    return sampling.keep_ids(s.select("sent_key", "sent_id"), s.where("genre = 'fiction'").select("sent_id")).select("sent_key")
+
+
+# --- alignment and metrics ---------------------------------------------------------------------
+
+_OVERLAP = f"""{V.GOLD}, gx AS (SELECT *, row_number() OVER (PARTITION BY sent_key) AS ord FROM gold), {V.SYS},
+o AS (SELECT s.sent_key, s.id AS sys_id, g.id AS gold_id, (least(s.end_char, g.end_char) - greatest(s.start_char, g.start_char)) AS inter, s.end_char - s.start_char + g.end_char - g.start_char AS total FROM sys s JOIN gold g ON s.sent_key = g.sent_key AND g.start_char < s.end_char AND g.end_char > s.start_char),
+r AS (SELECT *, inter::DOUBLE / (total - inter) AS iou, row_number() OVER (PARTITION BY sent_key, sys_id ORDER BY inter::DOUBLE / (total - inter) DESC, gold_id) AS k FROM o),
+al AS (SELECT s.sent_key, s.id AS sys_id, r.gold_id, coalesce(r.iou, 0) AS iou, CASE WHEN r.iou IS NULL THEN 'none' WHEN r.iou > 0.9 THEN 'exact' ELSE 'partial' END AS type FROM sys s LEFT JOIN r ON r.sent_key = s.sent_key AND r.sys_id = s.id AND r.k = 1)"""
+
+
+@query(f"WITH {_OVERLAP} SELECT sent_key, sys_id, gold_id, iou, type FROM al")
+def overlap_align(spark, d):
+    p = V.pairs(spark, d)
+    return p.select("sent_key", F.explode(align.align_best(F.col("sys"), F.col("gold"))).alias("a")).select("sent_key", "a.*")
+
+
+@query(f"""WITH {_OVERLAP}, j AS (SELECT a.sent_key, s.head_id AS sh, g.head_id AS gh, s.rel AS sr, g.rel AS gr, h.gold_id AS ah FROM al a JOIN sys s ON s.sent_key = a.sent_key AND s.id = a.sys_id JOIN gold g ON g.sent_key = a.sent_key AND g.id = a.gold_id LEFT JOIN al h ON h.sent_key = a.sent_key AND h.sys_id = s.head_id),
+k AS (SELECT *, CASE WHEN sh = 0 THEN coalesce(gh = 0, false) ELSE ah IS NOT DISTINCT FROM gh END AS ok FROM j)
+SELECT count(*) AS aligned, count_if(ok)::DOUBLE / count(*) AS soft_uas, count_if(ok AND sr IS NOT DISTINCT FROM gr)::DOUBLE / count(*) AS soft_las FROM k""")
+def soft_scores_v1(spark, d):
+    return metrics.soft_scores_v1(V.pairs(spark, d))
+
+
+@query(f"""WITH {V.GOLD}, {V.SYS}, a AS (SELECT DISTINCT sent_key, start_char FROM sys), b AS (SELECT DISTINCT g.sent_key, g.start_char FROM gold g JOIN sentences s USING (sent_key) WHERE s.text IS NOT NULL),
+n AS (SELECT (SELECT count(*) FROM a JOIN b USING (sent_key, start_char)) AS tp, (SELECT count(*) FROM a ANTI JOIN b USING (sent_key, start_char)) AS fp, (SELECT count(*) FROM b ANTI JOIN a USING (sent_key, start_char)) AS fn)
+SELECT tp, fp, fn, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall, round(2 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)), 12) AS f1 FROM n""")
+def segmentation_f1(spark, d):
+    return metrics.segmentation_scores(V.pairs(spark, d)).withColumn("f1", F.round("f1", 12))
+
+
+@query(f"""WITH RECURSIVE {V.GOLD}, {V.SYS}, gi AS (SELECT sent_key, id - 1 AS j, start_char, end_char FROM gold JOIN (SELECT DISTINCT sent_key FROM pieces) USING (sent_key)), si AS (SELECT sent_key, id - 1 AS i, start_char, end_char FROM sys),
+edges AS (SELECT s.sent_key, s.i, g.j FROM si s JOIN gi g ON s.sent_key = g.sent_key AND g.start_char < s.end_char AND g.end_char > s.start_char
+  WHERE (least(s.end_char, g.end_char) - greatest(s.start_char, g.start_char))::DOUBLE / (s.end_char - s.start_char + g.end_char - g.start_char - (least(s.end_char, g.end_char) - greatest(s.start_char, g.start_char))) > 0.1),
+lagged AS (SELECT *, CASE WHEN i = lag(i) OVER w OR j = lag(j) OVER w THEN 0 ELSE 1 END AS fresh FROM edges WINDOW w AS (PARTITION BY sent_key ORDER BY i, j)),
+grouped AS (SELECT sent_key, i, j, sum(fresh) OVER (PARTITION BY sent_key ORDER BY i, j) AS g FROM lagged),
+sized AS (SELECT sent_key, g, count(DISTINCT i) AS ns, count(DISTINCT j) AS ng FROM grouped GROUP BY sent_key, g),
+types AS (SELECT CASE WHEN ns = 1 AND ng = 1 THEN 'exact' WHEN ns = 1 THEN 'split' WHEN ng = 1 THEN 'merge' ELSE 'complex' END AS type FROM sized
+ UNION ALL SELECT 'error' FROM si ANTI JOIN edges USING (sent_key, i) UNION ALL SELECT 'error' FROM gi ANTI JOIN edges USING (sent_key, j))
+SELECT type, count(*) AS n FROM types GROUP BY type""")
+def group_align_types(spark, d):
+    p = V.pairs(spark, d).select(F.explode(align.align_groups(F.col("sys"), F.col("gold"))).alias("g"))
+    return report.group_counts(p.select("g.type"), "type")
+
+
+@query()
+def soft_scores_v2(spark, d):
+    return metrics.soft_scores_v2(V.pairs(spark, d))
+
+
+@query()
+def backend_scores(spark, d):
+    b = metrics.backend_scores(V.pairs(spark, d))
+    return b.select("sentences", *(F.round(c, 9).alias(c) for c in b.columns[1:]))
+
+
+@query()
+def window_align(spark, d):
+    return V.pairs(spark, d).select("sent_key", F.explode(align.align_window(F.col("gold"), F.col("sys"))).alias("a")).select("sent_key", "a.*")
+
+
+_STRICT = f"""{V.GOLD}, {V.PRED}, r AS (SELECT g.sent_key, g.id, p.id IS NOT NULL AS in_pred, coalesce(g.head_id = p.head_id, false) AS u, coalesce(g.head_id = p.head_id, false) AND coalesce(g.rel = p.rel, false) AS l, g.rel FROM gold g LEFT JOIN pred p ON p.sent_key = g.sent_key AND p.id = g.id)"""
+
+
+@query(f"WITH {_STRICT} SELECT count(*) AS words, count_if(u)::DOUBLE / count(*) AS uas, count_if(l)::DOUBLE / count(*) AS las FROM r")
+def strict_scores(spark, d):
+    return metrics.strict_scores(V.gold_words(spark, d), V.pred_words(spark, d))
+
+
+@query(f"""WITH {_STRICT}, n AS (SELECT sent_key, count(*) AS n FROM gold GROUP BY 1), m AS (SELECT sent_key, count(*) AS m FROM pred GROUP BY 1), s AS (SELECT n.sent_key, coalesce(n = m, false) AS same FROM n LEFT JOIN m USING (sent_key)),
+ a AS (SELECT count(*) AS words, count_if(u) AS u, count_if(l) AS l FROM r JOIN s USING (sent_key) WHERE same) SELECT words, (SELECT count_if(NOT same) FROM s) AS skipped, u::DOUBLE / words AS uas, l::DOUBLE / words AS las FROM a""")
+def strict_equal_length(spark, d):
+    return metrics.strict_equal_length(V.gold_words(spark, d), V.pred_words(spark, d))
+
+
+@query(f"WITH {_STRICT} SELECT count(*) AS words, count_if(u)::DOUBLE / count(*) AS uas, count_if(l)::DOUBLE / count(*) AS las FROM r WHERE in_pred")
+def strict_common_ids(spark, d):
+    return metrics.strict_common_ids(V.gold_words(spark, d), V.pred_words(spark, d))
+
+
+@query(f"WITH {_STRICT}, s AS (SELECT sent_key, avg(u::INT) AS u, avg(l::INT) AS l FROM r GROUP BY 1) SELECT count(*) AS sentences, round(avg(u), 9) AS uas, round(avg(l), 9) AS las FROM s")
+def strict_macro(spark, d):
+    return metrics.strict_macro(V.gold_words(spark, d), V.pred_words(spark, d)).select("sentences", F.round("uas", 9).alias("uas"), F.round("las", 9).alias("las"))
+
+
+@query(f"WITH {_STRICT} SELECT count(*) AS words, count_if(l)::DOUBLE / count(*) AS clas FROM r WHERE coalesce(rel, '') NOT IN ('det', 'clf', 'case', 'cc', 'fixed', 'flat', 'cop', 'mark', 'punct')")
+def content_las(spark, d):
+    return metrics.content_las(V.gold_words(spark, d), V.pred_words(spark, d))
+
+
+@query(f"WITH {V.GOLD}, {V.PRED}, j AS (SELECT g.head_id AS gh, p.head_id AS ph, g.rel AS gr, p.rel AS pr FROM gold g JOIN pred p ON p.sent_key = g.sent_key AND p.id = g.id) SELECT CASE WHEN gh IS DISTINCT FROM ph THEN 'head' WHEN gr IS DISTINCT FROM pr THEN 'rel' ELSE 'ok' END AS label, count(*) AS n FROM j GROUP BY 1")
+def match_labels(spark, d):
+    p = V.pred_words(spark, d).select("sent_key", "id", F.col("head_id").alias("ph"), F.col("rel").alias("pr"))
+    j = V.gold_words(spark, d).join(p, ["sent_key", "id"])
+    return report.group_counts(j.select(S.match_label(F.col("head_id"), F.col("ph"), F.col("rel"), F.col("pr")).alias("label")), "label")
+
+
+@query(f"WITH {V.GOLD} SELECT g.sent_key, g.id, coalesce(substr(s.text, g.start_char + 1, g.end_char - g.start_char) = g.text, false) AS fits FROM gold g JOIN sentences s USING (sent_key)")
+def offset_check(spark, d):
+    s = read_table(spark, d, "sentences").select("sent_key", F.col("text").alias("whole"), F.explode("tokens").alias("t"))
+    return s.select("sent_key", "t.id", S.offset_fits(F.col("whole"), F.col("t.text"), F.col("t.start_char"), F.col("t.end_char")).alias("fits"))
+
+
+@query(f"""WITH RECURSIVE {V.GOLD}, f AS (SELECT g.sent_key, row_number() OVER (PARTITION BY g.sent_key ORDER BY g.id) AS k, g.text AS form, s.text FROM gold g JOIN sentences s USING (sent_key) WHERE s.text IS NOT NULL AND g.text IS NOT NULL),
+w AS (SELECT sent_key, 0::BIGINT AS k, 0::BIGINT AS at, -1::BIGINT AS a, -1::BIGINT AS b FROM (SELECT DISTINCT sent_key FROM f) UNION ALL
+ SELECT f.sent_key, f.k, CASE WHEN strpos(substr(f.text, w.at + 1), f.form) > 0 THEN w.at + strpos(substr(f.text, w.at + 1), f.form) - 1 + length(f.form) ELSE w.at END,
+  CASE WHEN strpos(substr(f.text, w.at + 1), f.form) > 0 THEN w.at + strpos(substr(f.text, w.at + 1), f.form) - 1 ELSE -1 END,
+  CASE WHEN strpos(substr(f.text, w.at + 1), f.form) > 0 THEN w.at + strpos(substr(f.text, w.at + 1), f.form) - 1 + length(f.form) ELSE -1 END FROM w JOIN f ON f.sent_key = w.sent_key AND f.k = w.k + 1)
+SELECT sent_key, k::INT AS k, a::INT AS start_char, b::INT AS end_char FROM w WHERE k > 0""")
+def reconstruct_offsets(spark, d):
+    s = V.parsed(spark, d).where("text IS NOT NULL").withColumn("forms", F.filter(F.transform("tokens", lambda t: t["text"]), lambda x: x.isNotNull()))
+    return s.select("sent_key", F.posexplode(align.reconstruct_offsets(F.col("text"), F.col("forms"))).alias("k", "p")).select("sent_key", (F.col("k") + 1).alias("k"), "p.*")
+
+
+@query()
+def projected_spans(spark, d):
+    s = V.parsed(spark, d).where("text IS NOT NULL").withColumn("forms", F.transform("tokens", lambda t: t["text"]))
+    return s.select("sent_key", F.posexplode(udfs.project_spans("text", "forms")).alias("k", "p")).select("sent_key", "k", "p.*")
+
+
+@query()
+def merged_pieces(spark, d):
+    s = V.parsed(spark, d).where("text IS NOT NULL")
+    words = tokenize.tokenizer("blanks")(F.col("text"))
+    return s.select("sent_key", F.posexplode(align.merge_pieces(words, F.transform("tokens", lambda t: F.coalesce(t["text"], F.lit(""))))).alias("word", "pieces"))
+
+
+# --- text functions over tokens ----------------------------------------------------------------
+
+
+@query("""SELECT key, value, count(*) AS n FROM (SELECT split_part(x, '=', 1) AS key, CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE 'true' END AS value
+ FROM (SELECT unnest(string_split(feats, '|')) AS x FROM treebank_tokens WHERE feats IS NOT NULL) WHERE x NOT IN ('', '_')) GROUP BY 1, 2""")
+def feature_values(spark, d):
+    t = read_table(spark, d, "treebank_tokens").where("feats IS NOT NULL").select(F.explode(S.feats_map(F.col("feats"))))
+    return report.group_counts(t, "key", "value")
+
+
+@query("SELECT DISTINCT CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE 'true' END AS value, split_part(x, '=', 1) AS key FROM (SELECT unnest(string_split(misc, '|')) AS x FROM treebank_tokens WHERE misc IS NOT NULL) WHERE x NOT IN ('', '_')")
+def misc_values(spark, d):
+    return read_table(spark, d, "treebank_tokens").select(F.explode(S.misc_map(F.col("misc")))).select("key", "value").distinct()
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, id, CASE WHEN lead(start_char) OVER (PARTITION BY sent_key ORDER BY id) = end_char THEN 'SpaceAfter=No' ELSE '_' END AS misc FROM gold")
+def space_after(spark, d):
+    z = F.arrays_zip(F.transform("tokens", lambda t: t["id"]).alias("id"), tokenize.space_after(F.col("tokens")).alias("misc"))
+    return V.parsed(spark, d).select("sent_key", F.explode(z).alias("z")).select("sent_key", "z.id", "z.misc")
+
+
+@query(f"WITH {V.GOLD}, v AS (SELECT sent_key, min(id) FILTER (pos IN ('VERB', 'INFN')) AS verb FROM gold GROUP BY 1) SELECT g.sent_key, g.id, CASE WHEN g.id > v.verb THEN v.verb ELSE 0 END AS head_id, CASE WHEN g.id > v.verb THEN 'dep' ELSE 'root' END AS rel FROM gold g JOIN v USING (sent_key)")
+def trivial_heads(spark, d):
+    return V.parsed(spark, d).select("sent_key", F.explode(tokenize.trivial_heads(F.col("tokens"))).alias("h")).select("sent_key", "h.*")
+
+
+@query("SELECT sent_key, sha256(text || '_conllu') AS key FROM sentences WHERE text IS NOT NULL")
+def cache_keys(spark, d):
+    return read_table(spark, d, "sentences").where("text IS NOT NULL").select("sent_key", S.cache_key(F.col("text"), "conllu").alias("key"))
+
+
+@query(f"WITH {V.GOLD} SELECT replace(lower(lemma), 'ё', 'е') AS lemma, count(*) AS n FROM gold GROUP BY 1")
+def normal_lemmas(spark, d):
+    return report.group_counts(V.gold_words(spark, d).select(S.norm_lemma(F.col("lemma")).alias("lemma")), "lemma")
+
+
+@query(f"""WITH {V.GOLD}, j AS (SELECT sent_key, id, concat_ws(chr(9), id::VARCHAR, text, coalesce(nullif(lemma, ''), '_'), coalesce(pos, '_'), '_', coalesce(head_id::VARCHAR, '_'), coalesce(rel, '_')) AS row FROM gold WHERE text IS NOT NULL AND text <> '' AND NOT regexp_matches(text || coalesce(lemma, ''), '[\\t\\n\\r]'))
+SELECT sent_key, id, row FROM j WHERE sent_key IN (SELECT sent_key FROM sentences WHERE tokens IS NOT NULL)""")
+def conllu_round_trip(spark, d):
+    s = V.parsed(spark, d).select("sent_key", "text", F.filter("tokens", lambda t: (t["text"] != "") & ~F.concat(t["text"], F.coalesce(t["lemma"], F.lit(""))).rlike("[\\t\\n\\r]")).alias("tokens"))
+    lines = s.select("sent_key", F.explode(conllu.parse_lines(sinks.parsed_block(F.col("text"), F.col("tokens")))).alias("t"))
+    blank = lambda c: F.coalesce(F.nullif(F.col(f"t.{c}"), F.lit("")), F.lit("_"))
+    return lines.select("sent_key", F.col("t.word").alias("id"), F.concat_ws("\t", "t.id", "t.form", blank("lemma"), blank("upos"), blank("xpos"), blank("head"), blank("deprel")).alias("row"))
+
+
+@query(f"WITH {V.GOLD}, {V.PRED} SELECT g.sent_key, g.id, g.text, p.lemma, p.pos, p.head_id, p.rel FROM gold g JOIN pred p ON p.sent_key = g.sent_key AND p.id = g.id")
+def parse_merge(spark, d):
+    p = V.pred_words(spark, d).select("sent_key", "id", "lemma", "pos", "head_id", "rel")
+    return V.gold_words(spark, d).select("sent_key", "id", "text").join(p, ["sent_key", "id"])
+
+
+@query("SELECT lang, count(*) AS documents, sum(len(regexp_extract_all(text, '([\\p{L}\\p{M}]+|\\p{N}+|[^\\s\\p{L}\\p{M}\\p{N}])', 1)))::BIGINT AS tokens FROM documents WHERE text IS NOT NULL GROUP BY lang")
+def token_counts_by_lang(spark, d):
+    t = read_table(spark, d, "documents").where("text IS NOT NULL").select("lang", F.size(tokenize.tokenizer("plain")(F.col("text"))).alias("n"))
+    return t.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+
+
+@query()
+def document_sentences(spark, d):
+    s = tokenize.sentences_with_spans(read_table(spark, d, "documents"))
+    return s.select("doc_id", "sent", "start_char", "end_char", F.size("tokens").alias("n_tokens"))
+
+
+# --- audit -------------------------------------------------------------------------------------
+
+
+def _audited(spark, d):
+    s = V.parsed(spark, d).where("text <> ''")
+    return audit.audit(s.select("dataset", F.col("sent_id"), "text", F.transform("tokens", lambda t: t["text"]).alias("gold"), tokenize.run_models(F.col("text"), ["words", "plain", "blanks", "absent"]).alias("models")))
+
+
+@query()
+def audit_errors(spark, d):
+    return _audited(spark, d)
+
+
+@query()
+def audit_crosstab(spark, d):
+    return audit.crosstab(_audited(spark, d), "model", "error_type")
+
+
+@query()
+def audit_top5(spark, d):
+    return audit.top_errors(_audited(spark, d))
+
+
+# --- literal cases -----------------------------------------------------------------------------
+
+
+def _values(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+_HEADS = [("1_5", 5, 0), ("7", 7, 7), (None, 0, 0), ("_", 0, 0), ("x", 0, 0), ("-1", -1, 0)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, {a}, {b})" for n, (_, a, b) in enumerate(_HEADS)) + ") AS v(n, head, digits)")
+def head_ids(spark, d):
+    r = _values(spark, [(i, h) for i, (h, _, _) in enumerate(_HEADS)], "n int, h string")
+    return r.select("n", S.head_int(F.col("h")).alias("head"), F.coalesce(S.head_digits(F.col("h")), F.lit(0)).alias("digits"))
+
+
+@query("SELECT * FROM (VALUES ('сек.', 'cut_prefix=0|cut_suffix=1|append_suffix=унда', 'секунда'), ('Наилучший', 'cut_prefix=3|cut_suffix=0|append_suffix=', 'лучший'), ('Слово', 'none', 'слово')) AS v(word, rule, lemma)")
+def lemma_rules(spark, d):
+    r = _values(spark, [("сек.", "cut_prefix=0|cut_suffix=1|append_suffix=унда"), ("Наилучший", "cut_prefix=3|cut_suffix=0|append_suffix="), ("Слово", "none")], "word string, rule string")
+    return r.select("word", "rule", S.lemma_rule_apply(F.col("word"), F.col("rule")).alias("lemma"))
+
+
+@query(f"WITH {V.GOLD} SELECT count(*) AS n, count(*) AS restored FROM gold WHERE text IS NOT NULL AND lemma IS NOT NULL")
+def lemma_rule_round_trip(spark, d):
+    g = V.gold_words(spark, d).where("text IS NOT NULL AND lemma IS NOT NULL").select(S.norm_lemma(F.col("text")).alias("word"), S.norm_lemma(F.col("lemma")).alias("lemma"))
+    r = g.select("lemma", S.lemma_rule_apply(F.col("word"), udfs.lemma_rule_build("word", "lemma")).alias("back"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("back") == F.col("lemma")).alias("restored"))
+
+
+@query("SELECT * FROM (VALUES ('S,муж', 'дом', 'NOUN'), ('V=пр', 'шёл', 'VERB'), ('CONJ', 'и', 'CCONJ'), ('ZZ', 'x', 'X'), ('S', '!', 'PUNCT'), ('PR=', 'в', 'ADP')) AS v(grammar, form, pos)")
+def universal_tags(spark, d):
+    r = _values(spark, [("S,муж", "дом"), ("V=пр", "шёл"), ("CONJ", "и"), ("ZZ", "x"), ("S", "!"), ("PR=", "в")], "grammar string, form string")
+    return r.select("grammar", "form", S.universal_pos(F.col("grammar"), F.col("form")).alias("pos"))
+
+
+@query("SELECT * FROM (VALUES ('#NULL a b #NULL #NULL c', '0.1 1 2 2.1 2.2 3'), ('a', '1'), ('a #NULL', '1 1.1')) AS v(words, ids)")
+def word_ids(spark, d):
+    r = _values(spark, [("#NULL a b #NULL #NULL c",), ("a",), ("a #NULL",)], "words string")
+    return r.select("words", F.array_join(decode.enumerate_words(F.split("words", " ")), " ").alias("ids"))
+
+
+@query("SELECT * FROM (VALUES ('[CLS] a #NULL b', '0:0 1:1 3:2'), ('[CLS]', '0:0')) AS v(words, mapping)")
+def id_mappings(spark, d):
+    r = _values(spark, [("[CLS] a #NULL b",), ("[CLS]",)], "words string")
+    entries = F.map_entries(decode.id_mapping(F.split("words", " ")))
+    return r.select("words", F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), " ").alias("mapping"))
+
+
+@query(f"WITH {V.GOLD}, s AS (SELECT sent_key, id AS \"to\", head_id AS a, length(coalesce(text, '')) % 7 AS x FROM gold WHERE head_id IS NOT NULL), e AS (SELECT sent_key, \"to\", a AS \"from\", x AS score FROM s UNION ALL SELECT sent_key, \"to\", a + 1, 3 FROM s) SELECT sent_key, \"to\", \"from\", score::INT AS score FROM e QUALIFY row_number() OVER (PARTITION BY sent_key, \"to\" ORDER BY score DESC, \"from\") = 1")
+def greedy_arcs(spark, d):
+    s = V.gold_words(spark, d).where("head_id IS NOT NULL").select("sent_key", F.col("id").alias("to"), F.col("head_id").alias("a"), (F.length(F.coalesce("text", F.lit(""))) % 7).alias("x"))
+    e = s.select("sent_key", "to", F.col("a").alias("from"), F.col("x").alias("score")).unionByName(s.select("sent_key", "to", (F.col("a") + 1).alias("from"), F.lit(3).alias("score")))
+    return decode.greedy_heads(e)
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    w = windowed_counts(read_table(spark, d, "events"))
+    return w.withColumn("total", F.round("total", 4))
