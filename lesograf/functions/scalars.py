@@ -11,6 +11,12 @@ POS_MAP = {"S": "NOUN", "A": "ADJ", "V": "VERB", "ADV": "ADV", "PR": "ADP", "CON
 PUNCTUATION = ".!?,;:—–-\"«»()[]{}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for a row: as a lambda's variable it isn't copied
+    into every place that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def misc_map(misc: Column) -> Column:
     """``k=v|flag`` as a map; values keep later ``=`` signs, flags are ``true``; ``_`` and empty give an empty map.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lesograf.functions.scalars import coverage, iou
+from lesograf.functions.scalars import coverage, iou, let
 from lesograf.schema import ALIGNMENT, GROUP, SPAN
 
 
@@ -40,13 +40,12 @@ def align_best(sys: Column, gold: Column) -> Column:
     """For every system token the gold token of greatest IoU, the earliest of several; ``exact`` above
     0.9, else ``partial``; ``none`` without overlap. Gold tokens may be taken several times."""
 
-    def best(s: Column) -> Column:
+    def best(s: Column, gold: Column) -> Column:
         near = F.filter(gold, lambda g: (g["start_char"] < s["end_char"]) & (g["end_char"] > s["start_char"]))
         scored = F.transform(near, lambda g, i: F.struct(iou(s["start_char"], s["end_char"], g["start_char"], g["end_char"]).alias("iou"), (-i).alias("i"), g["id"].alias("gold_id")))
-        top = F.array_max(scored)
-        return F.struct(s["id"].alias("sys_id"), top["gold_id"].alias("gold_id"), F.coalesce(top["iou"], F.lit(0.0)).alias("iou"), F.when(top.isNull(), "none").when(top["iou"] > 0.9, "exact").otherwise("partial").alias("type")).cast(ALIGNMENT)
+        return let(F.array_max(scored), lambda top: F.struct(s["id"].alias("sys_id"), top["gold_id"].alias("gold_id"), F.coalesce(top["iou"], F.lit(0.0)).alias("iou"), F.when(top.isNull(), "none").when(top["iou"] > 0.9, "exact").otherwise("partial").alias("type")).cast(ALIGNMENT))
 
-    return F.transform(sys, best)
+    return let(gold, lambda g: let(sys, lambda s: F.transform(s, lambda x: best(x, g))))
 
 
 def align_window(gold: Column, sys: Column, reach: int = 5) -> Column:
@@ -55,14 +54,14 @@ def align_window(gold: Column, sys: Column, reach: int = 5) -> Column:
     start = F.struct(F.lit(0).alias("cursor"), F.expr("cast(array() as array<struct<gold_id:int,sys_index:int>>)").alias("out"))
     numbered = F.transform(sys, lambda s, i: F.struct(i.alias("i"), s["start_char"].alias("a"), s["end_char"].alias("b")))
 
-    def step(a: Column, g: Column) -> Column:
+    def step(numbered: Column, a: Column, g: Column) -> Column:
         low = F.greatest(a["cursor"] - reach, F.lit(0))
         near = F.slice(numbered, low + 1, F.greatest(a["cursor"] + reach - low, F.lit(0)))
         scored = F.transform(near, lambda s: F.struct(coverage(g["start_char"], g["end_char"], s["a"], s["b"]).alias("c"), (-s["i"]).alias("i")))
-        top = F.array_max(F.filter(scored, lambda s: s["c"] > 0.5))
-        return F.struct(F.coalesce(-top["i"], a["cursor"]).alias("cursor"), F.concat(a["out"], F.array(F.struct(g["id"].alias("gold_id"), (-top["i"]).alias("sys_index")))).alias("out"))
+        best = F.array_max(F.filter(scored, lambda s: s["c"] > 0.5))
+        return let(best, lambda top: F.struct(F.coalesce(-top["i"], a["cursor"]).alias("cursor"), F.concat(a["out"], F.array(F.struct(g["id"].alias("gold_id"), (-top["i"]).alias("sys_index")))).alias("out")))
 
-    return F.aggregate(gold, start, step, lambda a: a["out"])
+    return let(numbered, lambda n: F.aggregate(gold, start, lambda a, g: step(n, a, g), lambda a: a["out"]))
 
 
 def match_type(n_sys: Column, n_gold: Column) -> Column:
@@ -72,7 +71,8 @@ def match_type(n_sys: Column, n_gold: Column) -> Column:
 def align_groups(sys: Column, gold: Column, threshold: float = 0.1) -> Column:
     """Connected components of the pairs with IoU above the threshold, and every other token alone as
     ``error``. Spans run left to right, so an edge that shares no end with the last group opens a new one."""
-    edges = F.flatten(F.transform(sys, lambda s, i: F.transform(F.filter(F.transform(gold, lambda g, j: F.struct(j.alias("j"), iou(s["start_char"], s["end_char"], g["start_char"], g["end_char"]).alias("iou"))), lambda e: e["iou"] > threshold), lambda e: F.struct(i.alias("s"), e["j"].alias("g")))))
+    spans = F.transform(gold, lambda g, j: F.struct(j.alias("j"), g["start_char"].alias("a"), g["end_char"].alias("b")))
+    edges = let(spans, lambda gs: F.flatten(F.transform(sys, lambda s, i: F.transform(F.filter(gs, lambda g: iou(s["start_char"], s["end_char"], g["a"], g["b"]) > threshold), lambda e: F.struct(i.alias("s"), e["j"].alias("g"))))))
     pair = "struct<s:array<int>,g:array<int>>"
 
     def step(acc: Column, e: Column) -> Column:
@@ -82,13 +82,15 @@ def align_groups(sys: Column, gold: Column, threshold: float = 0.1) -> Column:
         alone = F.struct(F.array(e["s"]).alias("s"), F.array(e["g"]).alias("g"))
         return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(acc, F.array(alone)))
 
-    groups = F.aggregate(edges, F.expr(f"cast(array() as array<{pair}>)"), step)
-    used_s, used_g = F.flatten(F.transform(groups, lambda x: x["s"])), F.flatten(F.transform(groups, lambda x: x["g"]))
-    rest_s = F.array_except(F.transform(sys, lambda _, i: i), used_s)
-    rest_g = F.array_except(F.transform(gold, lambda _, i: i), used_g)
     none = F.expr("cast(array() as array<int>)")
-    every = F.concat(groups, F.transform(rest_s, lambda i: F.struct(F.array(i).alias("s"), none.alias("g"))), F.transform(rest_g, lambda j: F.struct(none.alias("s"), F.array(j).alias("g"))))
-    return F.transform(every, lambda x: F.struct(F.array_sort(x["s"]).alias("sys_indices"), F.array_sort(x["g"]).alias("gold_indices"), match_type(F.size(x["s"]), F.size(x["g"])).alias("type")).cast(GROUP))
+
+    def whole(groups: Column) -> Column:
+        rest_s = F.array_except(F.transform(sys, lambda _, i: i), F.flatten(F.transform(groups, lambda x: x["s"])))
+        rest_g = F.array_except(F.transform(gold, lambda _, i: i), F.flatten(F.transform(groups, lambda x: x["g"])))
+        every = F.concat(groups, F.transform(rest_s, lambda i: F.struct(F.array(i).alias("s"), none.alias("g"))), F.transform(rest_g, lambda j: F.struct(none.alias("s"), F.array(j).alias("g"))))
+        return F.transform(every, lambda x: F.struct(F.array_sort(x["s"]).alias("sys_indices"), F.array_sort(x["g"]).alias("gold_indices"), match_type(F.size(x["s"]), F.size(x["g"])).alias("type")).cast(GROUP))
+
+    return let(F.aggregate(edges, F.expr(f"cast(array() as array<{pair}>)"), step), whole)
 
 
 def merge_pieces(words: Column, pieces: Column) -> Column:

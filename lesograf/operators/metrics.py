@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lesograf.functions.scalars import let
 from lesograf.operators.align import align_best, align_groups, align_window
 
 
@@ -66,19 +67,22 @@ def soft_counts_v1(pairs: DataFrame) -> DataFrame:
 
     ``pairs``: sent_key, sys and gold (id, head_id, rel, start_char, end_char). A root must meet a
     root; another head must be aligned with the gold head."""
-    a = pairs.withColumn("al", F.filter(align_best(F.col("sys"), F.col("gold")), lambda x: x["gold_id"].isNotNull()))
+    def check(al: Column, sys: Column, gold: Column, x: Column) -> Column:
+        def judge(s: Column, g: Column) -> Column:
+            aligned = F.get(F.filter(al, lambda y: y["sys_id"] == s["head_id"]), F.lit(0))["gold_id"]
+            head = F.when(s["head_id"] == 0, F.coalesce(g["head_id"] == 0, F.lit(False))).otherwise(aligned.eqNullSafe(g["head_id"]))
+            return F.struct(head.alias("h"), s["rel"].eqNullSafe(g["rel"]).alias("r"))
 
-    def head_ok(x: Column) -> Column:
-        s, g = _by_id(F.col("sys"), x["sys_id"]), _by_id(F.col("gold"), x["gold_id"])
-        aligned = F.get(F.filter(F.col("al"), lambda y: y["sys_id"] == s["head_id"]), F.lit(0))["gold_id"]
-        return F.when(s["head_id"] == 0, F.coalesce(g["head_id"] == 0, F.lit(False))).otherwise(aligned.eqNullSafe(g["head_id"]))
+        return let(_by_id(sys, x["sys_id"]), lambda s: let(_by_id(gold, x["gold_id"]), lambda g: judge(s, g)))
 
-    def rel_ok(x: Column) -> Column:
-        return _by_id(F.col("sys"), x["sys_id"])["rel"].eqNullSafe(_by_id(F.col("gold"), x["gold_id"])["rel"])
+    def whole(sys: Column, gold: Column) -> Column:
+        found = F.filter(align_best(sys, gold), lambda x: x["gold_id"].isNotNull())
+        return let(found, lambda al: F.transform(al, lambda x: check(al, sys, gold, x)))
 
-    checked = F.transform(F.col("al"), lambda x: F.struct(head_ok(x).alias("h"), rel_ok(x).alias("r")))
-    b = a.select("sent_key", checked.alias("c"))
-    return b.select("sent_key", F.size("c").alias("aligned"), F.size(F.filter("c", lambda x: x["h"])).alias("uas_ok"), F.size(F.filter("c", lambda x: x["h"] & x["r"])).alias("las_ok"))
+    # the spans may be derived in the same plan: bound once, they aren't derived for every token
+    checked = let(F.col("sys"), lambda s: let(F.col("gold"), lambda g: whole(s, g)))
+    counts = let(checked, lambda c: F.struct(F.size(c).alias("aligned"), F.size(F.filter(c, lambda x: x["h"])).alias("uas_ok"), F.size(F.filter(c, lambda x: x["h"] & x["r"])).alias("las_ok")))
+    return pairs.select("sent_key", counts.alias("n")).select("sent_key", "n.*")
 
 
 def soft_scores_v1(pairs: DataFrame) -> DataFrame:
@@ -90,21 +94,26 @@ def soft_scores_v1(pairs: DataFrame) -> DataFrame:
 def soft_scores_v2(pairs: DataFrame) -> DataFrame:
     """Over all gold tokens, by aligned groups; ids count from 1 in the order of the arrays, the first
     system token of a group stands for it, labels are compared without case."""
-    a = pairs.withColumn("groups", align_groups(F.col("sys"), F.col("gold")))
+    none = F.expr("cast(array() as array<int>)")
 
-    def of_gold(j: Column) -> Column:
-        return F.coalesce(F.get(F.filter(F.col("groups"), lambda x: F.array_contains(x["gold_indices"], j)), F.lit(0))["sys_indices"], F.expr("cast(array() as array<int>)"))
+    def check(groups: Column, sys: Column, g: Column, j: Column) -> Column:
+        of_gold = lambda k: F.coalesce(F.get(F.filter(groups, lambda x: F.array_contains(x["gold_indices"], k)), F.lit(0))["sys_indices"], none)
 
-    def check(g: Column, j: Column) -> Column:
-        mine = of_gold(j)
-        s = F.get(F.col("sys"), F.get(mine, F.lit(0)))
-        head = F.when(g["head_id"] == 0, s["head_id"] == 0).otherwise((s["head_id"] > 0) & F.array_contains(of_gold(g["head_id"] - 1), s["head_id"] - 1))
-        ok = F.coalesce((F.size(mine) > 0) & head, F.lit(False))
-        return F.struct(ok.alias("h"), F.coalesce(ok & (F.lower(s["rel"]) == F.lower(g["rel"])), F.lit(False)).alias("r"))
+        def judge(mine: Column) -> Column:
+            s = F.get(sys, F.get(mine, F.lit(0)))
+            head = F.when(g["head_id"] == 0, s["head_id"] == 0).otherwise((s["head_id"] > 0) & F.array_contains(of_gold(g["head_id"] - 1), s["head_id"] - 1))
+            return let(F.coalesce((F.size(mine) > 0) & head, F.lit(False)), lambda ok: F.struct(ok.alias("h"), F.coalesce(ok & (F.lower(s["rel"]) == F.lower(g["rel"])), F.lit(False)).alias("r")))
 
-    c = a.select(F.transform("gold", check).alias("c"))
-    n = F.coalesce(F.sum(F.size("c")), F.lit(0))
-    return c.agg(n.alias("tokens"), ratio(F.sum(F.size(F.filter("c", lambda x: x["h"]))), n).alias("soft_uas"), ratio(F.sum(F.size(F.filter("c", lambda x: x["r"]))), n).alias("soft_las"))
+        return let(of_gold(j), judge)
+
+    def whole(sys: Column, gold: Column) -> Column:
+        return let(align_groups(sys, gold), lambda groups: F.transform(gold, lambda g, j: check(groups, sys, g, j)))
+
+    checked = let(F.col("sys"), lambda s: let(F.col("gold"), lambda g: whole(s, g)))
+    counts = let(checked, lambda c: F.struct(F.size(c).alias("n"), F.size(F.filter(c, lambda x: x["h"])).alias("h"), F.size(F.filter(c, lambda x: x["r"])).alias("r")))
+    c = pairs.select(counts.alias("x")).select("x.*")
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return c.agg(n.alias("tokens"), ratio(F.sum("h"), n).alias("soft_uas"), ratio(F.sum("r"), n).alias("soft_las"))
 
 
 def segmentation_counts(sys: Column, gold: Column) -> list[Column]:
@@ -127,17 +136,22 @@ def segmentation_scores(pairs: DataFrame) -> DataFrame:
 
 def backend_scores(pairs: DataFrame) -> DataFrame:
     """Mean over sentences of token coverage, tag accuracy, and raw-id attachment scores."""
-    a = pairs.withColumn("al", align_window(F.col("gold"), F.col("sys")))
-
-    def check(x: Column) -> Column:
-        g, s = _by_id(F.col("gold"), x["gold_id"]), F.get(F.col("sys"), x["sys_index"])
-        head = g["head_id"].eqNullSafe(s["head_id"])
-        return F.struct(g["pos"].eqNullSafe(s["pos"]).alias("p"), head.alias("h"), (head & g["rel"].eqNullSafe(s["rel"])).alias("r"))
-
-    b = a.select("sent_key", F.size("al").alias("n"), F.transform(F.filter("al", lambda x: x["sys_index"].isNotNull()), check).alias("c"))
-    count = lambda k: F.size(F.filter("c", lambda x: x[k]))
-    m = F.size("c")
-    per = b.select(ratio(m, F.col("n")).alias("t"), ratio(count("p"), m).alias("p"), ratio(count("h"), m).alias("u"), ratio(count("r"), m).alias("l"))
+    def check(sys: Column, gold: Column, x: Column) -> Column:
+        def judge(g: Column, s: Column) -> Column:
+            head = g["head_id"].eqNullSafe(s["head_id"])
+            return F.struct(g["pos"].eqNullSafe(s["pos"]).alias("p"), head.alias("h"), (head & g["rel"].eqNullSafe(s["rel"])).alias("r"))
+
+        return let(_by_id(gold, x["gold_id"]), lambda g: let(F.get(sys, x["sys_index"]), lambda s: judge(g, s)))
+
+    def whole(sys: Column, gold: Column) -> Column:
+        return let(align_window(gold, sys), lambda al: F.struct(F.size(al).alias("n"), F.transform(F.filter(al, lambda x: x["sys_index"].isNotNull()), lambda x: check(sys, gold, x)).alias("c")))
+
+    checked = let(F.col("sys"), lambda s: let(F.col("gold"), lambda g: whole(s, g)))
+    count = lambda x, k: F.size(F.filter(x["c"], lambda y: y[k])).alias(k)
+    counts = let(checked, lambda x: F.struct(x["n"].alias("n"), F.size(x["c"]).alias("m"), count(x, "p"), count(x, "h"), count(x, "r")))
+    b = pairs.select(counts.alias("x")).select("x.*")
+    m = F.col("m")
+    per = b.select(ratio(m, F.col("n")).alias("t"), ratio(F.col("p"), m).alias("p"), ratio(F.col("h"), m).alias("u"), ratio(F.col("r"), m).alias("l"))
     return per.agg(F.count(F.lit(1)).alias("sentences"), *(F.coalesce(F.avg(c), F.lit(0.0)).alias(n) for c, n in (("t", "token_f1"), ("p", "pos_accuracy"), ("u", "uas"), ("l", "las"))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lesograf.functions.scalars import score_v1, score_v2
+from lesograf.functions.scalars import let, score_v1, score_v2
 
 # Verbs of speech; the later profilers know fewer or more of them.
 VERBS_V1 = "сказать говорить ответить отвечать спросить спрашивать промолвить заявить подумать воскликнуть шептать пояснить заметить продолжить добавить".split()
@@ -16,8 +16,7 @@ VERBS_V3 = [*VERBS_V1, "прошептать", "крикнуть"]
 def tree(tokens: Column) -> Column:
     """``p``: top of every token's chain of heads (0 root, -1 a head that isn't there, -2 no head, else a
     token in a cycle); ``d``: steps to it. Pointer doubling: chains halve in each of log2(n) rounds."""
-    ids = F.transform(tokens, lambda t: t["id"])
-    p = F.transform(tokens, lambda t: F.when(t["head_id"].isNull(), F.lit(-2)).when(t["head_id"] == 0, F.lit(0)).otherwise(F.coalesce(F.nullif(F.array_position(ids, t["head_id"]).cast("int"), F.lit(0)), F.lit(-1))))
+    p = let(F.transform(tokens, lambda t: t["id"]), lambda ids: F.transform(tokens, lambda t: F.when(t["head_id"].isNull(), F.lit(-2)).when(t["head_id"] == 0, F.lit(0)).otherwise(F.coalesce(F.nullif(F.array_position(ids, t["head_id"]).cast("int"), F.lit(0)), F.lit(-1)))))
     d = F.transform(tokens, lambda t: F.when(t["head_id"].isNull(), F.lit(0)).otherwise(F.lit(1)))
     rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(tokens) + 1)).cast("int") + 1)
 
@@ -37,25 +36,23 @@ def _deepest(t: Column, keep, value) -> Column:
 
 def depth_v1(tokens: Column) -> Column:
     """Greatest distance from a root among the tokens that a root reaches; 0 without a root."""
-    return _deepest(tree(tokens), lambda z: z["p"] == 0, lambda z: z["d"] - 1)
+    return let(tree(tokens), lambda t: _deepest(t, lambda z: z["p"] == 0, lambda z: z["d"] - 1))
 
 
 def depth_v2(tokens: Column) -> Column:
     """Longest chain of arcs between tokens (a head that isn't there counts); 0 if there is a cycle."""
-    t = tree(tokens)
-    return F.when(F.exists(t["p"], lambda p: p > 0), 0).otherwise(_deepest(t, lambda z: z["p"] <= 0, lambda z: z["d"] - F.when(z["p"] == 0, 1).otherwise(0)))
+    return let(tree(tokens), lambda t: F.when(F.exists(t["p"], lambda p: p > 0), 0).otherwise(_deepest(t, lambda z: z["p"] <= 0, lambda z: z["d"] - F.when(z["p"] == 0, 1).otherwise(0))))
 
 
 def depth_v3(tokens: Column) -> Column:
     """As depth_v2 with the arc from the virtual root."""
-    t = tree(tokens)
-    return F.when(F.exists(t["p"], lambda p: p > 0), 0).otherwise(_deepest(t, lambda z: z["p"] <= 0, lambda z: z["d"]))
+    return let(tree(tokens), lambda t: F.when(F.exists(t["p"], lambda p: p > 0), 0).otherwise(_deepest(t, lambda z: z["p"] <= 0, lambda z: z["d"])))
 
 
 def non_projective(tokens: Column) -> Column:
     """Whether two arcs cross; arcs from the root and without head are left out."""
     arcs = F.transform(F.filter(tokens, lambda t: t["head_id"] > 0), lambda t: F.struct(F.least(t["id"], t["head_id"]).alias("s"), F.greatest(t["id"], t["head_id"]).alias("e")))
-    return F.exists(arcs, lambda a: F.exists(arcs, lambda b: (a["s"] < b["s"]) & (b["s"] < a["e"]) & (a["e"] < b["e"])))
+    return let(arcs, lambda arcs: F.exists(arcs, lambda a: F.exists(arcs, lambda b: (a["s"] < b["s"]) & (b["s"] < a["e"]) & (a["e"] < b["e"]))))
 
 
 def _speaks(tokens: Column, verbs: list[str], form_too: bool) -> Column:
