@@ -38,7 +38,7 @@ def predicate(query: str) -> str:
     sql = _CHAIN.sub(lambda m: hold(f"({m[1]} {m[2]} {m[3]} and {m[3]} {m[4]} {m[5]})"), sql)
     sql = _NOT_EQUAL.sub(lambda m: hold(f"(not ({m[1]} <=> {m[2]}))"), sql)
     sql = sql.replace("&", " and ").replace("|", " or ").replace("~", " not ").replace("==", "=")
-    if not _ALLOWED.fullmatch(sql):
+    if not _ALLOWED.fullmatch(sql) or any(w not in ("and", "or", "not") for w in re.findall(r"([A-Za-z_]\w*)\s*\(", sql)):
         raise ValueError(f"unsupported predicate: {query!r}")
     return re.sub(r"\s*held_(\d+)\s*", lambda m: f" {held[int(m[1])]} ", sql).strip()
 
