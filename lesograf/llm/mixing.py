@@ -50,12 +50,13 @@ def allot(available: dict[str, float], share: dict[str, float], repeats: dict[st
 
 
 def reachable(available: dict[str, float], share: dict[str, float], repeats: dict[str, int], reach: float = REACH) -> float:
-    """Greatest total at which sources with ``reach`` of the target weight can give their full share."""
+    """Greatest total at which sources with ``reach`` of the target weight keep the proportions of
+    their targets; the others give what they have."""
     short = 0.0
-    for limit, weight in sorted((available.get(s, 0.0) * repeats[s] / share[s], share[s]) for s in share if share[s] > 0):
+    for level, weight in sorted((available.get(s, 0.0) * repeats[s] / share[s], share[s]) for s in share if share[s] > 0):
         short += weight
         if short > (1 - reach) * sum(share.values()) + 1e-9:
-            return limit
+            return sum(min(available.get(s, 0.0) * repeats[s], level * share[s]) for s in share)
     return 0.0
 
 

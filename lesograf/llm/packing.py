@@ -3,8 +3,9 @@
 The documents are dealt to groups of about GROUP items by their row numbers, so that every group has
 the same mix of sizes, and each group is packed by best fit decreasing. Dual feasible functions give
 a lower bound on the windows that a group needs; where the bound is met the group is certified.
-Groups with a gap give the documents of their emptiest windows to a pool, pools join the documents
-of several groups and are packed again, and the new packing is kept where it takes fewer windows.
+Groups with a gap give the documents of all windows that aren't full to a pool, certified groups those
+of the few half-empty windows that the rounding up leaves; pools join the documents of several groups
+and are packed again, and the new packing is kept where it takes fewer windows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ CAPACITY = 2048
 GROUP = 20_000  # items of a group
 POOLED = 8  # groups whose emptiest windows meet in one pool
 ROUNDS = 2
-KEPT_FILL = 0.995  # windows filled so far are kept by a group with a gap
+KEPT_FILL = 0.9  # windows filled so far are kept by a certified group; one with a gap keeps full ones only
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -159,7 +160,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
             break
         fill = packed.groupBy("window").agg((F.sum("tokens") / capacity).alias("fill"))
         marked = settle(packed.join(fill, "window"))
-        loose = (F.col("gap") > 0) & (F.col("fill") < KEPT_FILL)
+        loose = (F.col("fill") < KEPT_FILL) | (F.col("gap") > 0) & (F.col("fill") < 1)
         done.append(marked.where(~loose).drop("fill"))
         groups = max(1, -(-groups // POOLED))
         # a group's loose windows go to one pool together
