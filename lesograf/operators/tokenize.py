@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lesograf.functions.scalars import let
 from lesograf.operators.align import covering_spans
 
 #: Patterns of the shipped tokenizers; a blank is Unicode's everywhere.
@@ -46,8 +47,9 @@ def split_sentences(text: Column) -> Column:
 
 
 def sentences_with_spans(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, sent, text, start_char, end_char, tokens`` with spans in the document."""
+    """``key, sent, text, start_char, end_char, tokens`` with spans in the document; lines end sentences."""
     cut = F.regexp_replace("text", "([.!?…]+[»”\")]*)(\\s+)(?=[«“\"(—–-]?\\s*[\\p{Lu}\\p{N}])", "$1\u0001$2")
+    cut = F.regexp_replace(cut, "(\\n+)", "\u0001$1")  # a line's end is a sentence's end
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,raw:string>>)").alias("out"))
     place = F.aggregate(F.split(cut, "\u0001"), start, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), p.alias("raw")))).alias("out")), lambda a: a["out"])
     placed = documents.where("text IS NOT NULL").select(key, F.posexplode(place).alias("sent", "p"))
@@ -82,8 +84,8 @@ def drop_blank(tokens: Column) -> Column:
 
 def trivial_heads(tokens: Column) -> Column:
     """Head and relation by rule: the first verb is the root, later tokens hang on it, earlier ones on 0."""
-    verb = F.coalesce(F.array_position(F.transform(tokens, lambda t: F.coalesce(t["pos"].isin("VERB", "INFN"), F.lit(False))), True), F.lit(0)).cast("int")
-    return F.transform(tokens, lambda t, i: F.struct((i + 1).alias("id"), F.when((verb > 0) & (i + 1 > verb), verb).otherwise(0).alias("head_id"), F.when((verb > 0) & (i + 1 > verb), "dep").otherwise("root").alias("rel")))
+    first = F.coalesce(F.array_position(F.transform(tokens, lambda t: F.coalesce(t["pos"].isin("VERB", "INFN"), F.lit(False))), True), F.lit(0)).cast("int")
+    return let(first, lambda verb: F.transform(tokens, lambda t, i: F.struct((i + 1).alias("id"), F.when((verb > 0) & (i + 1 > verb), verb).otherwise(0).alias("head_id"), F.when((verb > 0) & (i + 1 > verb), "dep").otherwise("root").alias("rel"))))
 
 
 def cached(rows: DataFrame, cache: DataFrame, run: Callable[[DataFrame], DataFrame], key: str = "key") -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lesograf.functions import scalars as S
 from lesograf.functions import udfs
-from lesograf.operators import align, audit, decode, metrics, profile, report, sampling, tokenize, validate
+from lesograf.operators import adapters, align, audit, decode, metrics, profile, report, sampling, tokenize, validate
+from lesograf.plans import pipelines
 from lesograf.plans import views as V
 from lesograf.sources import conllu, sinks
 from lesograf.sources.tables import read_table
@@ -563,3 +564,68 @@ def greedy_arcs(spark, d):
 def event_windows(spark, d):
     w = windowed_counts(read_table(spark, d, "events"))
     return w.withColumn("total", F.round("total", 4))
+
+
+# --- shaping -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.GOLD}, n AS (SELECT sent_key, id, head_id, text, rel, row_number() OVER (PARTITION BY sent_key ORDER BY id) AS k FROM gold WHERE id % 2 = 1) SELECT a.sent_key, a.k::INT AS id, a.text, coalesce(b.k, 0)::INT AS head_id, a.rel FROM n a LEFT JOIN n b ON b.sent_key = a.sent_key AND b.id = a.head_id")
+def renumbered(spark, d):
+    odd = F.filter("tokens", lambda t: t["id"] % 2 == 1)
+    return V.parsed(spark, d).select("sent_key", F.explode(adapters.renumber(odd)).alias("t")).select("sent_key", "t.*")
+
+
+@query(f"WITH {V.GOLD} SELECT a.sent_key, a.id, count(b.id) FILTER (b.id < a.id)::INT AS n_lefts, count(b.id) FILTER (b.id > a.id)::INT AS n_rights FROM gold a LEFT JOIN gold b ON b.sent_key = a.sent_key AND b.head_id = a.id GROUP BY a.sent_key, a.id")
+def dependents(spark, d):
+    return V.parsed(spark, d).select("sent_key", F.explode(adapters.dependents(F.col("tokens"))).alias("t")).select("sent_key", "t.*")
+
+
+@query(f"WITH {V.GOLD} SELECT g.sent_key, g.id, g.start_char + s.start_char AS start_char, g.end_char + s.start_char AS end_char FROM gold g JOIN sentences s USING (sent_key)")
+def global_offsets(spark, d):
+    s = read_table(spark, d, "sentences").select("sent_key", F.explode(adapters.shift_spans(F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["start_char"].alias("start_char"), t["end_char"].alias("end_char"))), F.col("start_char"))).alias("t"))
+    return s.select("sent_key", "t.*")
+
+
+@query(r"SELECT DISTINCT text, regexp_full_match(text, '\p{L}+') AS is_alpha, regexp_full_match(text, '\p{Nd}+') AS is_digit, regexp_full_match(text, '\p{P}+') AS is_punct, regexp_full_match(text, '(?:https?://|www\.)\S+') AS like_url, lower(text) AS lower FROM treebank_tokens WHERE text IS NOT NULL AND NOT contains(text, chr(10))")
+def form_flags(spark, d):
+    t = read_table(spark, d, "treebank_tokens").where("text IS NOT NULL AND NOT contains(text, chr(10))").select("text").distinct()
+    return t.select("text", adapters.token_flags(F.col("text")).alias("f")).select("text", *(f"f.{c}" for c in ("is_alpha", "is_digit", "is_punct", "like_url", "lower")))
+
+
+@query(f"WITH {V.GOLD}, {V.PRED} SELECT g.sent_key, g.id FROM gold g JOIN pred p ON p.sent_key = g.sent_key AND p.id = g.id WHERE g.lemma IS DISTINCT FROM p.lemma")
+def lemma_disagreements(spark, d):
+    p = V.pred_words(spark, d).select("sent_key", "id", F.col("lemma").alias("other"))
+    return adapters.disagreements(V.gold_words(spark, d).select("sent_key", "id", "lemma").join(p, ["sent_key", "id"]), "lemma", "other").select("sent_key", "id")
+
+
+@query(f"WITH {V.GOLD} SELECT g.sent_key, g.id, w.lang FROM gold g LEFT JOIN word_forms w ON w.form = g.text")
+def dictionary_enrichment(spark, d):
+    return adapters.enrich(V.gold_words(spark, d).select("sent_key", "id", "text"), read_table(spark, d, "word_forms").select(F.col("form").alias("text"), "lang")).select("sent_key", "id", "lang")
+
+
+@query("SELECT source_file, count(*) AS sentences, sum(coalesce(len(tokens), 0))::BIGINT AS tokens FROM sentences GROUP BY source_file")
+def file_totals(spark, d):
+    return adapters.totals(read_table(spark, d, "sentences"), "source_file")
+
+
+@query("SELECT s.sent_key, f.corpus, f.split, coalesce(nullif(s.genre, ''), f.default_genre, 'unknown') AS genre FROM sentences s LEFT JOIN source_files f USING (source_file)")
+def source_metadata(spark, d):
+    s = read_table(spark, d, "sentences").select("sent_key", "source_file", "genre").join(read_table(spark, d, "source_files"), "source_file", "left")
+    return s.select("sent_key", "corpus", "split", S.falsy(F.col("genre"), F.coalesce("default_genre", F.lit("unknown"))).alias("genre"))
+
+
+@query()
+def processed_documents(spark, d):
+    p = pipelines.process(read_table(spark, d, "documents"))
+    return p.select("doc_id", "sent", F.explode("tokens").alias("t")).select("doc_id", "sent", "t.*")
+
+
+@query(f"""WITH {V.GOLD}, {V.PRED}, m AS (SELECT 'parser' AS model, sent_key, id, head_id, rel FROM pred UNION ALL SELECT 'chain', sent_key, id, id - 1, rel FROM gold),
+ n AS (SELECT unnest(['chain', 'parser']) AS model), r AS (SELECT n.model, g.sent_key, coalesce(g.head_id = m.head_id, false) AS u, coalesce(g.head_id = m.head_id AND g.rel = m.rel, false) AS l FROM gold g CROSS JOIN n LEFT JOIN m ON m.model = n.model AND m.sent_key = g.sent_key AND m.id = g.id),
+ s AS (SELECT model, sent_key, count(*) AS n, count_if(u) AS u, count_if(l) AS l FROM r GROUP BY 1, 2) SELECT model, sum(n)::BIGINT AS words, sum(u)::DOUBLE / sum(n) AS uas, sum(l)::DOUBLE / sum(n) AS las, round(avg(u::DOUBLE / n), 9) AS macro_uas, round(avg(l::DOUBLE / n), 9) AS macro_las FROM s GROUP BY model""")
+def model_benchmark(spark, d):
+    gold = V.gold_words(spark, d)
+    chain = gold.select(F.lit("chain").alias("model"), "sent_key", "id", (F.col("id") - 1).alias("head_id"), "rel")
+    parser = V.pred_words(spark, d).select(F.lit("parser").alias("model"), "sent_key", "id", "head_id", "rel")
+    b = pipelines.benchmark(gold, chain.unionByName(parser))
+    return b.select("model", "words", "uas", "las", F.round("macro_uas", 9).alias("macro_uas"), F.round("macro_las", 9).alias("macro_las"))
