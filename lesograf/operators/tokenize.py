@@ -56,7 +56,7 @@ def sentences_with_spans(documents: DataFrame, key: str = "doc_id") -> DataFrame
     lead = F.length(F.regexp_extract("p.raw", "^\\s*", 0))
     text = F.regexp_replace(F.regexp_replace("p.raw", "^\\s+", ""), "\\s+$", "")
     out = placed.select(key, "sent", text.alias("text"), (F.col("p.start") + lead).alias("start_char")).where("text <> ''")
-    spans = F.transform(token_spans(F.col("text")), lambda t: F.struct(t["id"].alias("id"), F.substring(F.col("text"), t["start_char"] + 1, t["end_char"] - t["start_char"]).alias("text"), (F.col("start_char") + t["start_char"]).alias("start_char"), (F.col("start_char") + t["end_char"]).alias("end_char")))
+    spans = let(F.col("text"), lambda x: F.transform(token_spans(x), lambda t: F.struct(t["id"].alias("id"), F.substring(x, t["start_char"] + 1, t["end_char"] - t["start_char"]).alias("text"), (F.col("start_char") + t["start_char"]).alias("start_char"), (F.col("start_char") + t["end_char"]).alias("end_char"))))
     return out.select(key, "sent", "text", "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), spans.alias("tokens"))
 
 
