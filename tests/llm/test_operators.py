@@ -232,6 +232,13 @@ def test_texts_that_are_fine(spark, forms):
     assert encoding.restore("&#1076;&#1086;&#1084;", r.spans("&#1076;&#1086;&#1084;")) == "дом"
 
 
+@pytest.mark.parametrize("wrong,right", [("schцn", "schön"), ("fьr", "für"), ("StraЯe", "Straße"), ("cafй", "café")])
+def test_western_words_read_as_cyrillic(wrong, right):
+    r = encoding.Restorer(encoding.Plausibility(sorted([*FORMS, "schön", "für", "straße", "café"])))
+    spans = r.spans(wrong)
+    assert spans and encoding.restore(wrong, spans) == right
+
+
 def test_garbled_records(spark, forms):
     bad = "ЛНРНП"  # мотор
     s = spark.createDataFrame([(1, f"Он читал {bad} Б доме"), (2, "Он спал"), (3, None), (4, ""), (5, "пЁя│ �")], "sent_key bigint, text string").withColumn("spans", F.lit(1))
