@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -64,19 +65,58 @@ def depths(curve: list[float]) -> list[float]:
     return [(a - c) + (b - c) for a, b, c in zip(left, right, curve)]
 
 
+def _forward(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The longest chain of (number, start, end) in which no span begins before the one before ends."""
+    ends, last, back = [], [], []  # of the chain of each length: least end, its last span; the span before each
+    for k, (_, a, b) in enumerate(spans):
+        n = bisect_right(ends, a)
+        back.append(last[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(b)
+            last.append(k)
+        elif b < ends[n]:
+            ends[n], last[n] = b, k
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(spans[k])
+        k = back[k]
+    return out[::-1]
+
+
 def place_tokens(text: str, tokens: list[tuple[str | None, int | None, int | None]]) -> list[tuple[int, int]]:
-    """Spans of the tokens in the text: their own if they fit, else the next place of their form, else
-    an empty span where the token before ends."""
-    out, at = [], 0
-    for form, a, b in tokens:
-        if a is None or b is None or not 0 <= a < b <= len(text) or a < at:
-            a = text.find(form, at) if form else -1
-            if a < 0:
-                out.append((at, at))
-                continue
-            b = a + len(form)
-        out.append((a, b))
-        at = b
+    """Spans of the tokens in the text: their own where the form stands, else their own if they fit
+    between those, else the next place of their form there, else an empty span; tokens without place
+    are spread evenly between their neighbours."""
+    own = [(i, a, b) for i, (_, a, b) in enumerate(tokens) if a is not None and b is not None and 0 <= a < b <= len(text)]
+    placed = _forward([(i, a, b) for i, a, b in own if text[a:b] == tokens[i][0]])
+    bounds = [(-1, 0, 0), *placed, (len(tokens), len(text), len(text))]
+    sure, k = {i for i, _, _ in placed}, 0
+    between: list[list[tuple[int, int, int]]] = [[] for _ in bounds]
+    for i, a, b in own:
+        if i not in sure:
+            while bounds[k + 1][0] < i:
+                k += 1
+            if bounds[k][2] <= a and b <= bounds[k + 1][1]:
+                between[k].append((i, a, b))
+    bounds = [x for k, bound in enumerate(bounds) for x in (bound, *_forward(between[k]))]
+    out: list[tuple[int, int]] = []
+    for (i, _, at), (j, until, end) in zip(bounds, bounds[1:]):
+        waiting = 0  # tokens without place since the last that has one
+        for n in range(i + 1, j + 1):
+            if n < j:
+                form = tokens[n][0]
+                a = text.find(form, at, until) if form else -1
+                if a < 0:
+                    waiting += 1
+                    continue
+                b = a + len(form)
+            else:
+                a, b = until, end
+            spread = [at + (a - at) * m // (waiting + 1) for m in range(1, waiting + 1)]
+            out += [(x, x) for x in spread]
+            if n < len(tokens):
+                out.append((a, b))
+            waiting, at = 0, b
     return out
 
 
@@ -113,18 +153,20 @@ def atoms_of(text: str, spans: list[tuple[int, int]] | None, max_chars: int) ->
 
 def cut(text: str, spans: list[tuple[int, int]] | None, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP_WORDS) -> list[tuple[int, int, int]]:
     """Pieces as (start, end, characters shared with the piece before); [] for a blank text."""
+    return [p[:3] for p in cut_with_tokens(text, spans, max_chars, max_tokens, overlap)]
+
+
+def cut_with_tokens(text: str, spans: list[tuple[int, int]] | None, max_chars: int, max_tokens: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+    """Pieces as (start, end, characters shared with the piece before, first token, token after the last).
+
+    Where more than ``max_tokens`` tokens begin at one atom, it comes out again for what exceeds them."""
     atoms = atoms_of(text, spans, max_chars)
     if not atoms:
         return []
     n = len(atoms)
-    starts = sorted(a for a, b in spans if b > a) if spans else []
-    count = [0] * (n + 1)  # tokens that begin before the i-th atom
-    k = 0
-    for i, (a, _) in enumerate(atoms):
-        while k < len(starts) and starts[k] < a:
-            k += 1
-        count[i] = k
-    count[n] = len(starts)
+    starts = sorted(a for a, _ in spans) if spans else []
+    # tokens that begin before the i-th atom; those before the first belong to it
+    count = [0, *(bisect_left(starts, a) for a, _ in atoms[1:]), len(starts)]
     words = [text[a:b] for a, b in atoms]
     depth = depths(similarities(words))
     kind = [0] * (n + 1)  # of the gap before the i-th atom
@@ -153,7 +195,10 @@ def cut(text: str, spans: list[tuple[int, int]] | None, max_chars: int = MAX_CHA
     out = []
     for k, (i, j) in enumerate(pieces):
         start, end = atoms[i][0], atoms[j - 1][1]
-        out.append((start, end, max(0, out[-1][1] - start) if k else 0))
+        first, stop = count[i], count[j]
+        out.append((start, end, max(0, out[-1][1] - start) if k else 0, first, min(stop, first + max_tokens)))
+        while (first := first + max_tokens) < stop:
+            out.append((start, end, end - start, first, min(stop, first + max_tokens)))
     return out
 
 
@@ -180,23 +225,7 @@ def _rows(max_chars: int, max_tokens: int, overlap: int):
                         a = b - min(overlap, max_tokens // 4)
                 else:
                     spans = place_tokens(text, list(zip(*(f[lo:hi] for f in fields)))) if valid[r] else None
-                    pieces, cuts = [], cut(text, spans, max_chars, max_tokens, overlap)
-                    for k, (a, b, s) in enumerate(cuts):
-                        if spans is None:
-                            pieces.append((a, b, s, 0, 0))
-                            continue
-                        # a token without place stays beside the token before it
-                        inside = [i for i, (x, y) in enumerate(spans) if a <= x < b and y > x]
-                        first = inside[0] if inside else None
-                        if first is None:
-                            pieces.append((a, b, s, 0, 0))
-                            continue
-                        stop = inside[-1] + 1
-                        while k == len(cuts) - 1 and stop < len(spans) or stop < len(spans) and spans[stop][1] == spans[stop][0] and stop - first < max_tokens:
-                            stop += 1
-                        if k == 0:
-                            first = 0
-                        pieces.append((a, b, s, lo + first, lo + min(stop, first + max_tokens) if stop - first > max_tokens else lo + stop))
+                    pieces = [(a, b, s, lo + x, lo + y) for a, b, s, x, y in cut_with_tokens(text, spans, max_chars, max_tokens, overlap)]
                 for k, (a, b, s, x, y) in enumerate(pieces):
                     keys.append(key)
                     number.append(k)
@@ -225,8 +254,10 @@ def split_oversized(sentences: DataFrame, max_chars: int = MAX_CHARS, max_tokens
     Offsets count in the row's text. Every piece has at most ``max_chars`` characters and
     ``max_tokens`` tokens; together the pieces hold every character but outer blanks, and every token.
     Rows within the limits are one piece as they are, NULL tokens stay NULL, a NULL or blank text is
-    cut by its tokens alone. A single word longer than ``max_chars`` is cut by length. Repeated rows
-    are cut alike; other columns are not read.
+    cut by its tokens alone. A single word longer than ``max_chars`` is cut by length. Tokens that
+    can't be found in the text are spread between their neighbours; where more than ``max_tokens``
+    begin at one word, it is repeated for the rest. Repeated rows are cut alike; other columns are
+    not read.
     """
     rows = sentences.select("sent_key", "text", "tokens").withColumn("oversized", oversized(max_chars, max_tokens))
     kind = dict(rows.dtypes)["tokens"]

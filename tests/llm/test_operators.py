@@ -57,6 +57,37 @@ def test_split_keeps_everything(spark):
     assert splitting.split_oversized(df.limit(0)).count() == 0
 
 
+def test_split_keeps_tokens_without_place(spark):
+    text = "один два три четыре пять " * 30
+    good = tokens_of(text)
+
+    def token(i, form, a, b):
+        return (i, form, None, None, None, 0, None, a, b)
+
+    cases = {
+        1: [token(t[0], "ъъъ", None, None) for t in good],  # garbled forms, no offsets
+        2: [token(t[0], None, None, None) for t in good],
+        3: [token(t[0], t[1] if t[0] % 2 else "ъ", t[7] if t[0] % 2 else None, t[8]) for t in good],
+        4: [token(t[0], t[1], 740, 745) if t[0] == 3 else t for t in good],  # one offset too large
+        5: good + [token(1000 + i, None, None, None) for i in range(130)],  # a long run at the end
+        6: [token(1000 + i, None, None, None) for i in range(130)] + good,  # and at the start
+        7: good[:70] + [token(1000 + i, "ъ", 9, 3) for i in range(200)] + good[70:],
+    }
+    rows = [(k, text, v) for k, v in cases.items()] + [(8, "а", [token(i, None, None, None) for i in range(200)])]
+    out = defaultdict(list)
+    for r in splitting.split_oversized(spark.createDataFrame(rows, f"sent_key bigint, text string, tokens {TOKENS}")).collect():
+        out[r["sent_key"]].append(r)
+    for key, whole, tokens in rows:
+        pieces = sorted(out[key], key=lambda p: p["piece"])
+        assert all(len(p["tokens"]) <= 60 and len(p["text"]) <= 400 and p["text"] == whole[p["start_char"] : p["end_char"]] for p in pieces)
+        assert {t["id"] for p in pieces for t in p["tokens"]} == {t[0] for t in tokens}, key
+        covered = {i for p in pieces for i in range(p["start_char"], p["end_char"])}
+        assert all(i in covered or c.isspace() for i, c in enumerate(whole))
+    # what has a place lies in its piece, beside an offset that is too large as well
+    for p in out[4]:
+        assert all(p["start_char"] <= t["start_char"] < p["end_char"] for t in p["tokens"] if t["id"] != 3)
+
+
 def test_cut_prefers_topic_change():
     a = "Кот спал на печи и кот ел рыбу. Кот любил рыбу и печь. Рыба была вкусная для кота. "
     b = "Поезд шёл на вокзал и вёз уголь. Вокзал ждал поезд и уголь. Уголь лежал на вокзале. "
