@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +25,17 @@ OVERLAP_WORDS = 5
 LEAST_FILL = 0.5  # share of the limits from which a piece may end
 BLOCK = 12  # words of a block
 _WORD = re.compile(r"\S+")
-_SENTENCE_END = re.compile(r"[.!?…。！？։।][»”\"')\]]*$")
-_CLAUSE_END = re.compile(r"[,;:—–、，]$")
+_SENTENCE_END = re.compile(r"[.!?…。！？։።][»”\"')\]」』】）〉》]*$")
+_CLAUSE_END = re.compile(r"[,;:—–、，；：]$")
+# Scripts that are written without blanks: every character (with the marks on it) is an atom there, and
+# an ideographic mark ends one without a blank after it.
+_BLANKLESS = re.compile(r"[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_TIGHT_SENTENCE_END = re.compile(r"[。！？｡။។][»”’\"')\]」』】）〉》]*$")
+_TIGHT_CLAUSE_END = re.compile(r"[、，；：၊][»”’\"')\]」』】）〉》]*$")
+_TIGHT = re.compile(f"{_BLANKLESS.pattern}|[。！？｡။។、，；：၊]")
+_OPENING = frozenset("«“‘([{「『【（〈《")
+_NEVER_FIRST = frozenset("ะาำະາຳーゝゞヽヾ々ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮヵヶ")
+_LEADING_VOWELS = frozenset("เแโใไເແໂໃໄ")  # written before the consonant that they follow in speech
 
 
 def _stem(word: str) -> str:
@@ -120,9 +130,29 @@ def place_tokens(text: str, tokens: list[tuple[str | None, int | None, int | Non
     return out
 
 
+def _characters(word: str) -> list[int]:
+    """Places within a word where a script without blanks may be cut: before its characters, but not
+    before a mark on one or a closing or end mark, nor after an opening one or a vowel written first."""
+    out = []
+    for i in range(1, len(word)):
+        c, before = word[i], word[i - 1]
+        if not (_BLANKLESS.match(c) or _BLANKLESS.match(before) or _TIGHT_SENTENCE_END.search(before) or _TIGHT_CLAUSE_END.search(before)):
+            continue
+        if before in _OPENING or before in _LEADING_VOWELS or before in "\u1039\u17d2" or unicodedata.category(c)[0] == "M" or c in _NEVER_FIRST:
+            continue
+        if not c.isalnum() and c not in _OPENING:
+            continue
+        out.append(i)
+    return out
+
+
 def atoms_of(text: str, spans: list[tuple[int, int]] | None, max_chars: int) -> list[tuple[int, int]]:
-    """Stretches that stay whole: words, glued where a token spans several, cut where one is too long."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    """Stretches that stay whole: words (characters in a script without blanks), glued where a token
+    spans several, cut where one is too long."""
+    words = []
+    for m in _WORD.finditer(text):
+        places = [m.start(), *(m.start() + i for i in _characters(m[0])), m.end()] if _TIGHT.search(m[0]) else [m.start(), m.end()]
+        words += zip(places, places[1:])
     if spans:
         cuts = sorted({a for a, b in spans if b > a} | {a for a, _ in words})
         held = sorted((a, b) for a, b in spans if b > a)
@@ -171,8 +201,11 @@ def cut_with_tokens(text: str, spans: list[tuple[int, int]] | None, max_chars: i
     depth = depths(similarities(words))
     kind = [0] * (n + 1)  # of the gap before the i-th atom
     for i in range(1, n):
-        loose = atoms[i - 1][1] < atoms[i][0]
-        kind[i] = 3 if loose and _SENTENCE_END.search(words[i - 1]) else 2 if loose and _CLAUSE_END.search(words[i - 1]) else 1 if loose else 0
+        end = atoms[i - 1][1]
+        before, loose = text[max(0, end - 8) : end], end < atoms[i][0]
+        if not loose and not (text[end].isalnum() or text[end] in _OPENING):
+            continue  # a closing mark belongs to what stands before it
+        kind[i] = 3 if (_SENTENCE_END if loose else _TIGHT_SENTENCE_END).search(before) else 2 if (_CLAUSE_END if loose else _TIGHT_CLAUSE_END).search(before) else 1 if loose else 0
     pieces, i, before = [], 0, 0
     while True:
         a = atoms[i][0]

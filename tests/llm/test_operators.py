@@ -88,6 +88,21 @@ def test_split_keeps_tokens_without_place(spark):
         assert all(p["start_char"] <= t["start_char"] < p["end_char"] for t in p["tokens"] if t["id"] != 3)
 
 
+@pytest.mark.parametrize("sentence", ["昨日雨が降った、しかし私たちは公園へ行った。", "他说：「我们明天去北京。」", "我不知道你在说什么，真的！"])
+@pytest.mark.parametrize("tokens", [False, True])
+def test_split_without_blanks(sentence, tokens):
+    text = sentence * 60
+    spans = [(m.start(), m.end()) for m in re.finditer(r"\w{1,2}|[^\w\s]", text)] if tokens else None
+    pieces = splitting.cut(text, spans)
+    assert len(pieces) > 1 and all(b - a <= 400 for a, b, _ in pieces) and pieces[-1][1] == len(text)
+    assert all(b % len(sentence) == 0 for _, b, _ in pieces)
+    # without sentence ends at clause marks, and without any at a character
+    clauses = splitting.cut("他说我们明天去北京，" * 60, None)
+    assert len(clauses) > 1 and all(b % 10 == 0 for _, b, _ in clauses)
+    bare = splitting.cut("昨日きゃく" * 100, None)
+    assert all(b - a <= 400 for a, b, _ in bare) and all(b % 5 != 3 for _, b, _ in bare)
+
+
 def test_cut_prefers_topic_change():
     a = "Кот спал на печи и кот ел рыбу. Кот любил рыбу и печь. Рыба была вкусная для кота. "
     b = "Поезд шёл на вокзал и вёз уголь. Вокзал ждал поезд и уголь. Уголь лежал на вокзале. "
