@@ -141,6 +141,17 @@ def test_quality_verdicts(spark, forms):
     assert quality.quality(df.limit(0), forms).count() == 0
 
 
+def test_strung_words_are_no_clause():
+    tongues = {"de": "der busfahrer konnte nicht einschlafen brot fenster schlüssel zeitung haus", "pl": "stary rybak otworzył okno chleb klucz gazeta mleko ser", "en": "bread window key story light bought her husband fresh", "ru": "письмо стол окно дом снег книга лампа город мотор лес река он работал и"}
+    lexicon = {w: (k, float(w == "работал"), float(w in ("он", "и"))) for k, v in tongues.items() for w in v.split()}
+    measurer = quality.Measurer(encoding.Plausibility(sorted(lexicon)), lexicon)
+    junk = ["Brot Fenster Schlüssel Zeitung Haus", "Fenster Schlüssel " * 6, "Brot, Fenster, Schlüssel, Zeitung", "bread, window, key, story, light", "chleb okno klucz gazeta"]
+    junk += ["Пакет, интернет, кредит, договор, письмо, стол", "билет пакет интернет кредит стол окно дом", "письмо стол окно дом снег книга лампа город мотор лес река " * 3 + "работал", "Он работал ........ 12", "{работал}=<он>; [работал]=<и>; {%$}=[_]"]
+    fine = ["Der Busfahrer konnte nicht einschlafen.", "Stary rybak otworzył okno.", "stary rybak otworzył okno", "Kupił chleb, mleko, ser i okno.", "Her husband bought fresh bread.", "Он работал, и он работал, и он работал, он работал", "он работал и письмо стол окно дом снег"]
+    assert [t for t in junk if not measurer.measure(t)[2]] == []
+    assert [t for t in fine if measurer.measure(t)[2]] == []
+
+
 # --- p3 ----------------------------------------------------------------------------------------
 
 
