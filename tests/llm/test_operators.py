@@ -249,6 +249,25 @@ def test_sentence_units(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["ชายชรากลับบ้าน", "เพื่อนบ้านซื้อแอปเปิล 3.5 กิโลกรัม", "เด็กอ่านหนังสือ"],
+        ["เขาเกิดในปี พ.ศ. 2560 ที่เมืองนี้", "เขากลับบ้านแล้ว"],
+        ["เขาพบ ดร. สมชาย", "เขากลับบ้านแล้ว"],
+        ["คุณไปไหน?", "ชายชรากลับบ้าน", "เพื่อนบ้านซื้อขนมปัง!", "เด็กอ่านหนังสือ"],
+        ["เขามาเวลา 10.30 น.", "เพื่อนบ้านซื้อขนมปัง", "ชายชรากลับบ้าน."],
+        ["เด็กอ่านหนังสือ", 'เขาพูดว่า "ไปบ้าน แล้วนอน"'],
+        ["ລາວກັບບ້ານ", "ລາຄາ 3.5 ກີບ", "ເດັກອ່ານປຶ້ມ"],
+        ["សិស្ស អានសៀវភៅ។", "គាត់ទៅផ្ទះ។"],
+    ],
+)
+def test_blanks_beside_marks(parts):
+    text = " ".join(parts)
+    got = [text[a:b] for a, b in sentences.Segmenter().units(text)]
+    assert got == parts
+
+
 def test_units_hold_every_character():
     rng = random.Random(4)
     alphabet = list("аБв .!?…\n\"«»—-()1г。」「 ก")
