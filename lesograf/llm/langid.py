@@ -29,7 +29,7 @@ SAMPLE_CHARS = (40, 2000)
 MEMO = 400_000
 CAP_BITS = 20.0  # that a word may tell against a language
 RARE_BITS = 25.0  # that a sentence costs in a language of which the labelled rows have no sentence
-WHOLE = 3  # words from which a sentence counts as a whole one beside others
+WHOLE = 3  # words from which a sentence counts as a whole one beside others; with an end mark one less
 
 # Codes of languages: two letters, then the three-letter codes and names in use.
 CODES = """
@@ -93,6 +93,7 @@ _LATIN_RU = (
 _SR_LATIN = dict(zip("абвгдђежзијклљмнњопрстћуфхцчџш", "a b v g d đ e ž z i j k l lj m n nj o p r s t ć u f h c č dž š".split(" ")))
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ\-‐̀-ͯ]+[^\W\d_]+)*['’ʼ]?")
+_END_MARK = re.compile(r"[.!?…][\"»”’)\]]*$")
 _BREAK = re.compile(r"[.!?…。！？։।]+[\"»”’)\]]*(?=\s|$|[^\W\d_])|\n+|[«»„“”\"]")
 _MARKUP = re.compile(r"^(?:#(?! ?text ?=)[^\n]*|# ?text ?= ?|[0-9][0-9.\-]*\t[^\n]*)|(?:https?://|www\.)\S+|\S+@\S+\.\S+|<[^<>\n]{1,200}>", re.M)
 _COLUMNS = re.compile(r"^([0-9][0-9.\-]*\t)([^\t\n]*)([^\n]*)$", re.M)
@@ -243,10 +244,10 @@ class Labeller:
             self.rows.append(row)
         return i
 
-    def sentences(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-        """(word ids, first word of each sentence, start, end of each sentence)."""
+    def sentences(self, text: str) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
+        """(word ids, first word, start, end of each sentence, whether it has an end mark)."""
         ids: list[int] = []
-        first, starts, ends = [], [], []
+        first, starts, ends, marked = [], [], [], []
         text, at, get, find = masked(text), 0, self.index.get, _WORD.findall
         for end in [m.end() for m in _BREAK.finditer(text)] + [len(text)]:
             if end > at and (words := find(text, at, end)):
@@ -257,8 +258,9 @@ class Labeller:
                 ids += new
                 starts.append(text.index(words[0], at))
                 ends.append(end)
+                marked.append(_END_MARK.search(text, at, end) is not None)
             at = end
-        return ids, first, starts, ends
+        return ids, first, starts, ends, marked
 
     def label(self, texts: list[str]) -> list[list[tuple[int, int, str, float, int]]]:
         """For each text its segments (start, end, language, confidence, words of its longest sentence)."""
@@ -268,12 +270,13 @@ class Labeller:
         if len(self.rows) > len(self.table):
             self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.float32)])
         out = []
-        for ids, first, starts, ends in parts:
+        for ids, first, starts, ends, marked in parts:
             if not ids:
                 out.append([])
                 continue
             cost = np.add.reduceat(self.table[np.array(ids)], np.array(first), axis=0) + self.start
             sizes = np.diff([*first, len(ids)])
+            sizes += np.array(marked) & (sizes == WHOLE - 1)  # two words and an end mark are a whole sentence
             out.append(self._segments(cost, sizes, starts, ends))
         return out
 
@@ -330,12 +333,12 @@ def _whole(segments: list[tuple[int, int, str, float, int]]) -> list[tuple[int,
 def sample(documents: DataFrame) -> list[tuple[str, str]]:
     """At most SAMPLE_ROWS labelled rows of SAMPLE_CHARS characters, by least hash of doc_id.
 
-    Hashes above what SAMPLE_ROWS of all rows need are dropped where they are read, so that the
-    driver gets little more than the sample, however many tasks there are."""
-    share = min(1.0, SAMPLE_ROWS / max(1, documents.count()))
-    h = F.xxhash64("doc_id")
-    rows = documents.where(F.pmod(h, F.lit(1 << 40)) <= int(share * (1 << 40)))
-    rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_CHARS)).select("lang", "text", F.pmod(h, F.lit(1 << 40)).alias("h"))
+    Hashes above what SAMPLE_ROWS of these rows need, and a tenth for chance, are dropped where they
+    are read, so that the driver gets little more than the sample, however many tasks there are."""
+    eligible = documents.where(F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_CHARS))
+    share = min(1.0, 1.1 * SAMPLE_ROWS / max(1, eligible.count()))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    rows = eligible.where(h <= int(share * (1 << 40))).select("lang", "text", h.alias("h"))
     return [(r["lang"], r["text"]) for r in rows.orderBy("h").limit(SAMPLE_ROWS).collect()]
 
 

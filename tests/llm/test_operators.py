@@ -463,3 +463,17 @@ def test_found_languages(spark):
     assert got == [(3, "en"), (4, "ru"), (5, "ru"), (7, "en"), (7, "ru")]
     assert langid.found_languages(df.limit(0)).count() == 0
     assert [langid.code_of(x) for x in ("sr-Cyrl", "fre", " Deu", "xx", "", None, "?")] == ["sr", "fr", "de", None, None, None, None]
+
+
+def test_languages_of_all_codes(spark, monkeypatch):
+    lettered = {"ca", "da", "et", "fi", "hu", "la", "lt", "lv", "no", "ro", "sk", "sl", "sv", "tt", "vi"}
+    assert lettered <= set(SEEDS)
+    labeller = langid.Labeller(langid.fit([(k, SEEDS[k]) for k in lettered]))
+    said = {"sv": "Hunden sprang genom skogen, och barnen skrattade åt den.", "fi": "Koira juoksi metsän läpi, ja lapset nauroivat sille.", "hu": "A kutya átszaladt az erdőn, és a gyerekek nevettek rajta.", "ro": "Câinele a fugit prin pădure, iar copiii au râs de el.", "lt": "Šuo bėgo per mišką, ir vaikai iš jo juokėsi."}
+    assert {k: labeller.label([t])[0][0][2] for k, t in said.items()} == {k: k for k in said}
+    two = "Вчера мы долго ждали поезд, потому что он опоздал. Danke schön! Она ничего не знает об этом."
+    german = langid.Labeller(langid.fit([("de", SEEDS["de"] + " Danke schön! Danke schön!"), ("ru", SEEDS["ru"])] * 3))
+    assert [x[2] for x in german.label([two])[0]] == ["ru", "de", "ru"]
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 300)
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN 'ru' END AS lang", "repeat('слово ', 10) AS text")
+    assert len(langid.sample(df)) == 300
