@@ -5,7 +5,7 @@ can't give goes to the others in proportion to their targets. Cells of source, l
 then raked, so that the sources meet their allotments while languages and topics keep the shares
 that the collection has. A document is taken as often as its cell's weight says: whole repeats, and
 one more if its hash falls below the rest; a threshold per source, read from a histogram of these
-hashes, brings the source's tokens to the allotment.
+hashes, brings the source's tokens up to the allotment, and documents picked by size fill what is left.
 """
 
 from __future__ import annotations
@@ -50,16 +50,28 @@ def allot(available: dict[str, float], share: dict[str, float], repeats: dict[st
 
 
 def reachable(available: dict[str, float], share: dict[str, float], repeats: dict[str, int], reach: float = REACH) -> float:
-    """Greatest total at which sources with ``reach`` of the target weight keep the proportions of
-    their targets; the others give what they have."""
+    """Greatest total at which sources with ``reach`` of the weight of all sources that have any tokens
+    keep the proportions of their targets; the others give what they have."""
+    cap = {s: available.get(s, 0.0) * repeats[s] for s in share}
+    there = {s: w for s, w in share.items() if w > 0 and cap[s] > 0}
     short = 0.0
-    for level, weight in sorted((available.get(s, 0.0) * repeats[s] / share[s], share[s]) for s in share if share[s] > 0):
+    for level, weight in sorted((cap[s] / w, w) for s, w in there.items()):
         short += weight
-        if short > (1 - reach) * sum(share.values()) + 1e-9:
-            return sum(min(available.get(s, 0.0) * repeats[s], level * share[s]) for s in share)
+        if short > (1 - reach) * sum(there.values()) + 1e-9:
+            return sum(min(cap[s], level * w) for s, w in there.items())
     return 0.0
 
 
+def fill(left: float, sizes: list[int]) -> list[int]:
+    """Sizes, each taken once, that together fill ``left`` as far as the greatest that still fits does."""
+    out = []
+    for n in sorted(sizes, reverse=True):
+        if 0 < n <= left:
+            out.append(n)
+            left -= n
+    return out
+
+
 def rake(cells: list[tuple[str, str, int]], tokens: np.ndarray, allotted: dict[str, float], repeats: dict[str, int]) -> np.ndarray:
     """Weight of every cell (copies of each of its documents), at most max_repeats."""
     if not len(cells):
@@ -88,11 +100,11 @@ def rake(cells: list[tuple[str, str, int]], tokens: np.ndarray, allotted: dict[s
 
 
 def _prepared(documents: DataFrame, targets: DataFrame, vocabulary: str) -> tuple[DataFrame, list]:
-    rows = targets.select("source", "target_share", "max_repeats").collect()  # a row a source, fixed
-    keep = sorted({r["source"].strip().lower().replace("-", "_").replace(" ", "_") for r in rows if r["source"]})
+    rows = targets.where("source IS NOT NULL").select("source", source_key(F.col("source")).alias("key"), "target_share", "max_repeats").collect()  # a row a source, fixed
+    keep = sorted({r["key"] for r in rows})
     sizes = token_counts(documents, "lang", "source", "genre", vocabulary=vocabulary)
     sizes = numbered(sizes).withColumn("key", source_key(F.col("source")))
-    sizes = sizes.withColumn("language", F.coalesce(label_code("lang"), F.lit("und"))).withColumn("topic", F.pmod(F.xxhash64(F.lower(F.trim("genre"))), F.lit(TOPICS)).cast("int"))
+    sizes = sizes.withColumn("language", F.coalesce(label_code("lang"), F.lit("und"))).withColumn("topic", F.when(F.col("genre").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.lower(F.trim("genre"))), F.lit(TOPICS)).cast("int")))
     return settle(sizes.where(F.col("key").isin(keep)).select("row", "doc_id", "key", "language", "topic", "tokens")), rows
 
 
@@ -102,19 +114,20 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     documents: ``doc_id, source, tokens, copies`` of those taken at least once. shares: ``source,
     target_share, max_repeats, available, allotted, tokens, share, documents, copies`` of every
     target, absent sources with zeros. ``total`` is the size of the collection in tokens, by default
-    what ``reachable`` gives: more would dilute the shares, less would waste documents. Sources are compared in one spelling; documents
-    without source, or of a source without target, are left out; a NULL share or repeat counts as 0.
+    what ``reachable`` gives: more would dilute the shares, less would waste documents. Sources are compared
+    in one spelling; documents without source, or of a source without target, are left out; a NULL share
+    or repeat counts as 0. A source's tokens never exceed its allotment by more than rounding, unless the
+    whole repeats that its cells' weights demand do.
     """
     spark = documents.sparkSession
     sizes, rows = _prepared(documents, targets, vocabulary)
     share, repeats, name = {}, {}, {}
     for r in rows:
-        if r["source"]:
-            k = r["source"].strip().lower().replace("-", "_").replace(" ", "_")
-            share[k], repeats[k], name[k] = share.get(k, 0.0) + float(r["target_share"] or 0.0), max(repeats.get(k, 0), int(r["max_repeats"] or 0)), r["source"]
+        k = r["key"]
+        share[k], repeats[k], name[k] = share.get(k, 0.0) + float(r["target_share"] or 0.0), max(repeats.get(k, 0), int(r["max_repeats"] or 0)), r["source"]
     # sources x languages x TOPICS rows at most
     table = sizes.groupBy("key", "language", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("key", "language", "topic").collect()
-    cells = [(r["key"], r["language"], -1 if r["topic"] is None else r["topic"]) for r in table]
+    cells = [(r["key"], r["language"], r["topic"]) for r in table]
     tokens = np.array([r["tokens"] for r in table], float)
     available: dict[str, float] = {}
     for (s, _, _), n in zip(cells, tokens):
@@ -123,7 +136,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     weight = rake(cells, tokens, allotted, repeats)
     weights = spark.createDataFrame([(*c, float(w)) for c, w in zip(cells, weight)], "key string, language string, topic int, weight double")
     draw = (F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 40)) / float(1 << 40)).alias("draw")
-    placed = sizes.select("*", draw, F.coalesce("topic", F.lit(-1)).alias("_topic")).drop("topic").withColumnRenamed("_topic", "topic").join(F.broadcast(weights), ["key", "language", "topic"])
+    placed = sizes.select("*", draw).join(F.broadcast(weights), ["key", "language", "topic"])
     limit = F.create_map(*(F.lit(x) for k in sorted(repeats) for x in (k, repeats[k])))[F.col("key")] if repeats else F.lit(0)
     placed = placed.withColumn("base", F.floor("weight").cast("int")).withColumn("over", F.col("draw") - (F.col("weight") - F.floor("weight"))).withColumn("limit", limit)
     # tokens of one more copy by the bin of draw - rest: a threshold per source meets its allotment
@@ -131,17 +144,26 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     at = F.floor((F.col("over") + 1) * (BINS / 2)).cast("int")
     spare = F.when(F.col("base") < F.col("limit"), F.col("tokens")).otherwise(0)
     bins = placed.groupBy("key", at.alias("bin")).agg(F.sum(spare).alias("tokens"), F.sum(F.col("base") * F.col("tokens")).alias("sure")).collect()  # sources x BINS rows at most
-    edge = {}
+    edge, left = {}, {}
     for s in available:
         own = sorted((r["bin"], r["tokens"]) for r in bins if r["key"] == s)
-        sure = sum(r["sure"] for r in bins if r["key"] == s)
-        best, taken, edge[s] = abs(sure - allotted.get(s, 0.0)), sure, 0
+        taken, edge[s] = sum(r["sure"] for r in bins if r["key"] == s), 0
         for b, n in own:
-            taken += n
-            if abs(taken - allotted.get(s, 0.0)) < best:
-                best, edge[s] = abs(taken - allotted.get(s, 0.0)), b + 1
-    bound = F.create_map(*(F.lit(x) for k in sorted(edge) for x in (k, edge[k])))[F.col("key")] if edge else F.lit(0)
-    copies = F.col("base") + F.when((at < bound) & (F.col("base") < F.col("limit")), 1).otherwise(0)
+            if taken + n > allotted.get(s, 0.0) + 0.5:
+                break
+            taken, edge[s] = taken + n, b + 1
+        left[s] = allotted.get(s, 0.0) + 0.5 - taken
+    lookup = lambda d: F.create_map(*(F.lit(x) for k in sorted(d) for x in (k, d[k])))[F.col("key")] if d else F.lit(0)
+    below, more = at < lookup(edge), F.col("base") < F.col("limit")
+    # what is left of an allotment is filled by documents beyond the edge, one of each size: sources x sizes rows
+    spares = placed.where(~below & more & (F.col("tokens") > 0) & (F.col("tokens") <= lookup(left))).groupBy("key", "tokens").agg(F.min_by("row", F.struct("over", "row")).alias("row")).collect()
+    by_source: dict[str, dict[int, int]] = {}
+    for r in spares:
+        by_source.setdefault(r["key"], {})[r["tokens"]] = r["row"]
+    extra = [(d[n],) for k, d in sorted(by_source.items()) for n in fill(left[k], list(d))]
+    extra_rows = spark.createDataFrame(extra, "row bigint").withColumn("extra", F.lit(1))
+    placed = placed.join(F.broadcast(extra_rows), "row", "left")
+    copies = F.col("base") + F.when(below & more, 1).otherwise(0) + F.coalesce("extra", F.lit(0))
     spelling = F.create_map(*(F.lit(x) for k in sorted(name) for x in (k, name[k])))[F.col("key")] if name else F.col("key")
     taken = settle(placed.select("doc_id", spelling.alias("source"), "tokens", copies.cast("int").alias("copies")).where("copies > 0"))
     sums = taken.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"))

@@ -485,6 +485,19 @@ def test_mixture(spark):
     assert none.count() == 0 and {r["tokens"] for r in empty.collect()} == {0}
 
 
+def test_mixture_of_odd_sources(spark):
+    """A source in any spelling counts, absent ones with much of the weight leave the others their shares,
+    and a small allotment of large documents is filled by size."""
+    rows = [(i, "слово " * (300 if i % 10 else 7), "ru", ["My  Source", "my-source", "plain"][i % 3], "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, genre string")
+    targets = spark.createDataFrame([("My  Source", 0.4, 1), ("plain", 0.4, 1), ("absent", 0.2, 3), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
+    shares = {r["source"]: r for r in mixing.mix(df, targets)[1].collect()}
+    assert set(shares) == {"My  Source", "plain", "absent"} and shares["My  Source"]["available"] > shares["plain"]["available"] > 0
+    assert shares["absent"]["tokens"] == 0 and shares["plain"]["share"] == pytest.approx(0.5, rel=0.02) == shares["My  Source"]["share"]
+    small = {r["source"]: r for r in mixing.mix(df, targets, total=5000)[1].collect()}
+    assert all(r["tokens"] <= r["allotted"] + 1 and r["tokens"] >= 0.8 * r["allotted"] for r in small.values())
+
+
 # --- p10 ---------------------------------------------------------------------------------------
 
 
