@@ -189,3 +189,27 @@ def arborescence(energy: np.ndarray) -> list[int]:
 def mst_heads(energies: pd.Series) -> pd.Series:
     """Heads of nodes 0..n-1 from an energy matrix (array of rows, row = head); node 0 is the root."""
     return pd.Series([[] if m is None or not len(m) else arborescence(np.array([list(r) for r in m])) for m in energies], dtype=object)
+
+
+def decode_tree(scores: np.ndarray) -> list[int]:
+    """Heads of all nodes from scores[head, node]; the node with the greatest self-arc is the root and its
+    own head. Scores become probabilities of each node's heads; nodes that no arc reaches take their
+    best head."""
+    e = np.exp(scores - scores.max(axis=0, keepdims=True))
+    p = e / e.sum(axis=0, keepdims=True)
+    root = int(p.diagonal().argmax())
+    order = [root, *(i for i in range(len(p)) if i != root)]
+    inner = p[np.ix_(order, order)].copy()
+    inner[:, 0] = 0.0
+    solved = arborescence(inner)
+    heads = [root] * len(p)
+    for i, h in enumerate(solved):
+        if i:
+            heads[order[i]] = order[h] if inner[h, i] > 0 else int(scores[:, order[i]].argmax())
+    return heads
+
+
+@F.pandas_udf(_INTS)
+def tree_heads(scores: pd.Series) -> pd.Series:
+    """``decode_tree`` of a matrix of scores (array of rows, row = head); NULL and empty give none."""
+    return pd.Series([[] if m is None or not len(m) else decode_tree(np.array([list(r) for r in m], float)) for m in scores], dtype=object)

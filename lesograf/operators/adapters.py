@@ -50,7 +50,7 @@ def shift_spans(spans: Column, by: Column) -> Column:
 def token_flags(form: Column) -> Column:
     """norm, lower, shape and flags of a form."""
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(form, "\\p{Lu}", "X"), "\\p{Ll}", "x"), "\\p{Nd}", "d")
-    return F.struct(F.lower(form).alias("lower"), F.regexp_replace(shape, "(.)\\1{4,}", "$1$1$1$1").alias("shape"), form.rlike("^\\p{L}+$").alias("is_alpha"), form.rlike("^\\p{Nd}+$").alias("is_digit"), form.rlike("^\\p{P}+$").alias("is_punct"), form.rlike("^\\p{Lu}[\\p{Ll}\\p{M}]*$").alias("is_title"), form.rlike("^(?:\\p{Nd}+[.,]?)+$").alias("like_num"), form.rlike("^(?:https?://|www\\.)\\S+$").alias("like_url"), form.rlike("^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$").alias("like_email"))
+    return F.struct(F.lower(form).alias("lower"), F.regexp_replace(shape, "(.)\\1{4,}", "$1$1$1$1").alias("shape"), form.rlike("^\\p{L}+\\z").alias("is_alpha"), form.rlike("^\\p{Nd}+\\z").alias("is_digit"), form.rlike("^\\p{P}+\\z").alias("is_punct"), form.rlike("^\\p{Lu}[\\p{Ll}\\p{M}]*\\z").alias("is_title"), form.rlike("^(?:\\p{Nd}+[.,]?)+\\z").alias("like_num"), form.rlike("^(?:https?://|www\\.)\\S+\\z").alias("like_url"), form.rlike("^[^@\\s]+@[^@\\s]+\\.[^@\\s]+\\z").alias("like_email"))
 
 
 def dependents(tokens: Column) -> Column:
@@ -110,3 +110,26 @@ def first_ids(ids: Column) -> Column:
 def totals(sentences: DataFrame, key: str) -> DataFrame:
     """Sentences and tokens of every text."""
     return sentences.groupBy(key).agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.coalesce(F.size("tokens"), F.lit(0))).alias("tokens"))
+
+
+def merge_by_place(tokens: Column, parsed: Column) -> Column:
+    """Tokens with the parse at the same place, up to the shorter list; a missing lemma or tag is ``_``."""
+    n = F.least(F.size(tokens), F.size(parsed))
+    blank = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("_"))
+    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(parsed, F.lit(1), n), lambda t, q: F.struct(t["id"].alias("id"), t["start_char"].alias("start_char"), t["end_char"].alias("end_char"), blank(q["lemma"]).alias("lemma"), blank(q["pos"]).alias("pos"), F.coalesce(q["head_id"], F.lit(0)).alias("head_id"), blank(q["rel"]).alias("rel")))
+
+
+def children(tokens: Column) -> Column:
+    """Ids of the dependents of every token, in order."""
+    return F.transform(tokens, lambda t: F.struct(t["id"].alias("id"), F.array_sort(F.transform(F.filter(tokens, lambda u: u["head_id"] == t["id"]), lambda u: u["id"])).alias("children")))
+
+
+def first_result(*evaluations) -> dict | None:
+    """What the first evaluation gives that gives anything; one that fails gives nothing (driver side)."""
+    for run in evaluations:
+        try:
+            if out := run():
+                return out
+        except (OSError, ValueError, RuntimeError):
+            continue
+    return None

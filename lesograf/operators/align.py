@@ -107,3 +107,24 @@ def merge_pieces(words: Column, pieces: Column) -> Column:
         return F.struct((a["at"] + grow["n"]).alias("at"), F.concat(a["out"], F.array(took)).alias("out"))
 
     return F.aggregate(words, start, step, lambda a: a["out"])
+
+
+def merge_parsed(words: Column, parsed: Column) -> Column:
+    """Parsed pieces put together to words: each word takes lemma, tag, head and relation of its first piece.
+
+    ``parsed``: structs (text, lemma, pos, head_id, rel) whose heads count pieces from 1. A head becomes
+    the word that holds that piece, 0 where no word does; a word that would hang on itself gets the
+    relation ``flat:merged``. Words without pieces are left out, the others keep their numbers."""
+    texts = F.transform(parsed, lambda p: F.coalesce(p["text"], F.lit("")))
+
+    def whole(w: Column, p: Column, groups: Column) -> Column:
+        holder = lambda k: F.coalesce(F.array_position(F.transform(groups, lambda g: F.array_contains(g, k)), True), F.lit(0)).cast("int")
+
+        def one(g: Column, i: Column) -> Column:
+            first = F.get(p, F.get(g, F.lit(0)))
+            head = F.when(F.coalesce(first["head_id"], F.lit(0)) == 0, 0).otherwise(holder(first["head_id"] - 1))
+            return let(head, lambda h: F.struct((i + 1).alias("id"), F.get(w, i).alias("text"), first["lemma"].alias("lemma"), first["pos"].alias("pos"), h.alias("head_id"), F.when(h == i + 1, "flat:merged").otherwise(first["rel"]).alias("rel"), F.size(g).alias("n")))
+
+        return F.filter(F.transform(groups, one), lambda x: x["n"] > 0)
+
+    return let(words, lambda w: let(parsed, lambda p: let(merge_pieces(w, texts), lambda g: whole(w, p, g))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lesograf.functions.udfs import diff_opcodes
+from lesograf.sources.tables import settle
 
 
 def error_type(n_gold: Column, n_pred: Column) -> Column:
@@ -25,7 +26,8 @@ def audit(rows: DataFrame, context: int = 100) -> DataFrame:
 
 def crosstab(errors: DataFrame, row: str, column: str) -> DataFrame:
     """Counts of ``row`` x ``column`` in long form, absent pairs as 0. Both have few values."""
-    pairs = errors.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
+    # written once: the values are looked up in the counts, not by running the audit again
+    pairs = settle(errors.groupBy(row, column).agg(F.count(F.lit(1)).alias("n")))
     wide = pairs.groupBy(row).pivot(column).agg(F.sum("n")).na.fill(0)
     names = [c for c in wide.columns if c != row]
     return wide.select(row, F.explode(F.array(*(F.struct(F.lit(c).alias(column), F.col(f"`{c}`").alias("n")) for c in names))).alias("x")).select(row, f"x.{column}", "x.n") if names else pairs

@@ -104,13 +104,14 @@ def profile_v1(sentences: DataFrame) -> DataFrame:
     return s.select("sent_key", F.size("tokens").alias("text_len"), dialogue_v1(F.col("text"), F.col("tokens")).alias("is_dialogue"), depth_v1(F.col("tokens")).alias("tree_depth"), non_projective(F.col("tokens")).alias("non_projectivity"))
 
 
-def profile_v2(sentences: DataFrame) -> DataFrame:
-    """The enriched profile; densities unrounded. Sentences without tokens are left out."""
+def profile_v2(sentences: DataFrame, *keep: str) -> DataFrame:
+    """The enriched profile, with the columns ``keep`` of the input; densities unrounded. Sentences without
+    tokens are left out."""
     t, text = F.col("tokens"), F.col("text")
-    s = sentences.where("tokens IS NOT NULL").select("sent_key", "source_file", F.size(t).alias("length"), depth_v2(t).alias("depth"), non_projective(t).alias("non_proj"), dialogue_v2(text, t).alias("is_dialogue"), count_pos(t, "PRON").alias("pronouns"), count_pos(t, "PROPN").alias("propn"), count_hyphens(t).alias("hyphens"), count_abbreviations(text).alias("abbr_count"), count_clusters(text).alias("punct_clusters"), F.coalesce(F.array_max(F.transform(t, lambda x: F.length(x["text"]))), F.lit(0)).alias("max_token_len"))
-    bonus = F.contains(F.lower("source_file"), F.lit("cobald"))
+    s = sentences.where("tokens IS NOT NULL").select("sent_key", F.struct("source_file", *keep).alias("_own"), F.size(t).alias("length"), depth_v2(t).alias("depth"), non_projective(t).alias("non_proj"), dialogue_v2(text, t).alias("is_dialogue"), count_pos(t, "PRON").alias("pronouns"), count_pos(t, "PROPN").alias("propn"), count_hyphens(t).alias("hyphens"), count_abbreviations(text).alias("abbr_count"), count_clusters(text).alias("punct_clusters"), F.coalesce(F.array_max(F.transform(t, lambda x: F.length(x["text"]))), F.lit(0)).alias("max_token_len"))
+    bonus = F.contains(F.lower("_own.source_file"), F.lit("cobald"))
     share = lambda c: F.when(F.col("length") > 0, F.col(c) / F.col("length")).otherwise(0.0)
-    return s.select("sent_key", score_v1(F.col("depth"), F.col("non_proj"), F.col("is_dialogue"), F.col("pronouns"), F.coalesce(bonus, F.lit(False))).alias("score"), "length", "depth", "non_proj", (F.col("depth") + 10 * F.col("non_proj").cast("int")).alias("syntax_complexity"), "is_dialogue", "pronouns", share("propn").alias("propn_ratio"), share("hyphens").alias("hyphen_density"), "abbr_count", "punct_clusters", "max_token_len")
+    return s.select("sent_key", score_v1(F.col("depth"), F.col("non_proj"), F.col("is_dialogue"), F.col("pronouns"), F.coalesce(bonus, F.lit(False))).alias("score"), "length", "depth", "non_proj", (F.col("depth") + 10 * F.col("non_proj").cast("int")).alias("syntax_complexity"), "is_dialogue", "pronouns", share("propn").alias("propn_ratio"), share("hyphens").alias("hyphen_density"), "abbr_count", "punct_clusters", "max_token_len", *(F.col("_own")[k].alias(k) for k in keep))
 
 
 def profile_v3(sentences: DataFrame) -> DataFrame:

@@ -55,7 +55,10 @@ def ecdf(rows: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def markdown(rows: DataFrame, max_rows: int = 200) -> str:
-    """A small result as a Markdown table, rendered on the driver."""
-    data = rows.limit(max_rows).collect()
+    """A result as a Markdown table, rendered on the driver; a last line says so where it goes on after
+    ``max_rows`` rows."""
+    data = rows.limit(max_rows + 1).collect()
+    rest = data[max_rows:]
+    data = data[:max_rows]
     head = "| " + " | ".join(rows.columns) + " |"
-    return "\n".join([head, "|" + " --- |" * len(rows.columns), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in data)])
+    return "\n".join([head, "|" + " --- |" * len(rows.columns), *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in data), *([f"only the first {max_rows} rows"] if rest else [])])

@@ -74,6 +74,6 @@ def with_ordinal(rows: DataFrame, *order: str, name: str = "ordinal") -> DataFra
 
 def split_by_fraction(rows: DataFrame, by: str, fraction: float, order: str = "sent_key") -> DataFrame:
     """``set``: ``dev`` for the first floor(n x fraction) rows by ``by`` descending, else ``train``."""
-    n = rows.count()
     ranked = with_ordinal(rows.withColumn("_by", -F.col(by)), "_by", order, name="_rank").drop("_by")
+    n = ranked.count()  # of the table that with_ordinal wrote
     return ranked.withColumn("set", F.when(F.col("_rank") <= int(n * fraction), "dev").otherwise("train")).drop("_rank")

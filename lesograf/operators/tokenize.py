@@ -65,6 +65,25 @@ def space_after(tokens: Column) -> Column:
     return F.transform(tokens, lambda t, i: F.when(F.get(tokens, i + 1)["start_char"] == t["end_char"], "SpaceAfter=No").otherwise("_"))
 
 
+def spaces_after(text: Column, tokens: Column) -> Column:
+    """``SpaceAfter=No`` where nothing follows a token before the next, ``SpacesAfter='..'`` with the blanks
+    quoted where more than one does, else ``_``; the last token ``_``. Line breaks, returns and tabs are
+    written as escapes."""
+    quoted = lambda g: F.concat(F.lit("SpacesAfter='"), F.replace(F.replace(F.replace(g, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t")), F.lit("'"))
+
+    def mark(t: Column, i: Column) -> Column:
+        after = F.get(tokens, i + 1)["start_char"]
+        return F.when(after == t["end_char"], "SpaceAfter=No").when(after > t["end_char"] + 1, quoted(F.substring(text, t["end_char"] + 1, after - t["end_char"]))).otherwise("_")
+
+    return F.transform(tokens, mark)
+
+
+def simple_sentences(text: Column) -> Column:
+    """The simplest reading: cut at runs of ``.!?``, blank parts dropped, words between blanks."""
+    parts = F.filter(F.transform(F.split(text, "[.!?]+"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", "")), lambda p: p != "")
+    return F.transform(parts, lambda p: F.split(p, "\\s+"))
+
+
 def space_flags(tokens: Column) -> Column:
     """Whether a gap follows each token; the last False."""
     return F.transform(tokens, lambda t, i: F.coalesce(t["end_char"] < F.get(tokens, i + 1)["start_char"], F.lit(False)))

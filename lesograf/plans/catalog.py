@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from lesograf.functions import udfs
 from lesograf.operators import adapters, align, audit, decode, metrics, profile, report, sampling, tokenize, validate
 from lesograf.plans import pipelines
 from lesograf.plans import views as V
-from lesograf.sources import conllu, sinks
-from lesograf.sources.tables import read_table
+from lesograf.sources import conllu, fetch, sinks
+from lesograf.sources.tables import checkpoint_dir, read_table
 from lesograf.streaming.treebank import windowed_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,9 +126,8 @@ _BY_DATASET = _PROFILE2 + f", p AS (SELECT b.*, {V.DATASET} AS dataset, genre, (
 
 
 def _profiled(spark, d):
-    s = read_table(spark, d, "sentences")
-    keep = s.select("sent_key", S.dataset_name(F.col("source_file")).alias("dataset"), "genre", "sent_id")
-    return profile.profile_v2(s).join(keep, "sent_key")
+    s = read_table(spark, d, "sentences").withColumn("dataset", S.dataset_name(F.col("source_file")))
+    return profile.profile_v2(s, "dataset", "genre", "sent_id")
 
 
 @query(_BY_DATASET + "SELECT dataset, round(avg((dash AND said2)::INT) * 100, 6) AS percent FROM p GROUP BY dataset")
@@ -337,18 +337,38 @@ def group_align_types(spark, d):
     return report.group_counts(p.select("g.type"), "type")
 
 
-@query()
+_EDGES = f"""{V.GOLD}, {V.SYS}, gi AS (SELECT sent_key, id - 1 AS j, start_char, end_char FROM gold JOIN (SELECT DISTINCT sent_key FROM pieces) USING (sent_key)), si AS (SELECT sent_key, id - 1 AS i, start_char, end_char FROM sys),
+edges AS (SELECT s.sent_key, s.i, g.j FROM si s JOIN gi g ON s.sent_key = g.sent_key AND g.start_char < s.end_char AND g.end_char > s.start_char
+  WHERE (least(s.end_char, g.end_char) - greatest(s.start_char, g.start_char))::DOUBLE / (s.end_char - s.start_char + g.end_char - g.start_char - (least(s.end_char, g.end_char) - greatest(s.start_char, g.start_char))) > 0.1),
+lagged AS (SELECT *, CASE WHEN i = lag(i) OVER w OR j = lag(j) OVER w THEN 0 ELSE 1 END AS fresh FROM edges WINDOW w AS (PARTITION BY sent_key ORDER BY i, j)),
+grouped AS (SELECT sent_key, i, j, sum(fresh) OVER (PARTITION BY sent_key ORDER BY i, j) AS g FROM lagged)"""
+
+
+@query(f"""WITH {_EDGES}, firsts AS (SELECT sent_key, g, min(i) AS i FROM grouped GROUP BY 1, 2), of_gold AS (SELECT DISTINCT sent_key, j, g FROM grouped), of_sys AS (SELECT DISTINCT sent_key, i, g FROM grouped),
+r AS (SELECT g.head_id AS gh, lower(g.rel) AS gr, s.head_id AS sh, lower(s.rel) AS sr, h.g AS head_of_gold, k.g AS head_of_sys FROM gold g JOIN (SELECT DISTINCT sent_key FROM pieces) USING (sent_key)
+  LEFT JOIN of_gold o ON o.sent_key = g.sent_key AND o.j = g.id - 1 LEFT JOIN firsts f ON f.sent_key = g.sent_key AND f.g = o.g LEFT JOIN sys s ON s.sent_key = g.sent_key AND s.id = f.i + 1
+  LEFT JOIN of_gold h ON h.sent_key = g.sent_key AND h.j = g.head_id - 1 LEFT JOIN of_sys k ON k.sent_key = g.sent_key AND k.i = s.head_id - 1),
+c AS (SELECT coalesce(CASE WHEN gh = 0 THEN sh = 0 ELSE sh > 0 AND head_of_gold = head_of_sys END, false) AS ok, gr, sr FROM r)
+SELECT count(*) AS tokens, count_if(ok)::DOUBLE / count(*) AS soft_uas, count_if(ok AND coalesce(gr = sr, false))::DOUBLE / count(*) AS soft_las FROM c""")
 def soft_scores_v2(spark, d):
     return metrics.soft_scores_v2(V.pairs(spark, d))
 
 
-@query()
+_WINDOW = f"""{V.GOLD}, {V.SYS}, g AS (SELECT sent_key, row_number() OVER (PARTITION BY sent_key ORDER BY id) AS k, id, head_id, rel, pos, start_char, end_char FROM gold JOIN (SELECT DISTINCT sent_key FROM pieces) USING (sent_key)),
+cand AS (SELECT g.sent_key, g.k, s.id - 1 AS i FROM g JOIN sys s ON s.sent_key = g.sent_key AND (least(g.end_char, s.end_char) - greatest(g.start_char, s.start_char))::DOUBLE > 0.5 * (g.end_char - g.start_char) AND least(g.end_char, s.end_char) > greatest(g.start_char, s.start_char)),
+walk AS (SELECT sent_key, 0::BIGINT AS k, 0::INT AS at, NULL::INT AS i FROM (SELECT DISTINCT sent_key FROM pieces) UNION ALL
+ SELECT w.sent_key, g.k, coalesce(c.i, w.at)::INT, c.i::INT FROM walk w JOIN g ON g.sent_key = w.sent_key AND g.k = w.k + 1 LEFT JOIN cand c ON c.sent_key = g.sent_key AND c.k = g.k AND c.i >= greatest(w.at - 5, 0) AND c.i < w.at + 5)"""
+
+
+@query(f"""WITH RECURSIVE {_WINDOW}, m AS (SELECT w.sent_key, w.i, g.head_id IS NOT DISTINCT FROM s.head_id AS h, g.pos IS NOT DISTINCT FROM s.pos AS p, g.rel IS NOT DISTINCT FROM s.rel AS r FROM walk w JOIN g ON g.sent_key = w.sent_key AND g.k = w.k LEFT JOIN sys s ON s.sent_key = w.sent_key AND s.id = w.i + 1),
+ per AS (SELECT x.sent_key, count(m.sent_key) AS n, count(i) AS m, count_if(i IS NOT NULL AND p) AS p, count_if(i IS NOT NULL AND h) AS h, count_if(i IS NOT NULL AND h AND r) AS l FROM (SELECT DISTINCT sent_key FROM pieces) x LEFT JOIN m USING (sent_key) GROUP BY 1)
+ SELECT count(*) AS sentences, round(avg(CASE WHEN n > 0 THEN m::DOUBLE / n ELSE 0 END), 9) AS token_f1, round(avg(CASE WHEN m > 0 THEN p::DOUBLE / m ELSE 0 END), 9) AS pos_accuracy, round(avg(CASE WHEN m > 0 THEN h::DOUBLE / m ELSE 0 END), 9) AS uas, round(avg(CASE WHEN m > 0 THEN l::DOUBLE / m ELSE 0 END), 9) AS las FROM per""")
 def backend_scores(spark, d):
     b = metrics.backend_scores(V.pairs(spark, d))
     return b.select("sentences", *(F.round(c, 9).alias(c) for c in b.columns[1:]))
 
 
-@query()
+@query(f"WITH RECURSIVE {_WINDOW} SELECT w.sent_key, g.id AS gold_id, w.i AS sys_index FROM walk w JOIN g ON g.sent_key = w.sent_key AND g.k = w.k WHERE w.k > 0")
 def window_align(spark, d):
     return V.pairs(spark, d).select("sent_key", F.explode(align.align_window(F.col("gold"), F.col("sys"))).alias("a")).select("sent_key", "a.*")
 
@@ -412,11 +432,15 @@ def projected_spans(spark, d):
     return s.select("sent_key", F.posexplode(udfs.project_spans("text", "forms")).alias("k", "p")).select("sent_key", "k", "p.*")
 
 
-@query()
+@query(r"""WITH RECURSIVE wd AS (SELECT sent_key, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS w FROM (SELECT sent_key, regexp_extract_all(text, '(\S+)', 1) AS w FROM sentences WHERE tokens IS NOT NULL AND text IS NOT NULL)),
+ pc AS (SELECT sent_key, length(coalesce(t.text, '')) AS n, p - 1 AS p FROM (SELECT sent_key, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS p FROM sentences WHERE text IS NOT NULL)),
+ walk AS (SELECT sent_key, -1::BIGINT AS p, 0::BIGINT AS w, 0::BIGINT AS got, -1::BIGINT AS of FROM (SELECT DISTINCT sent_key FROM wd) UNION ALL
+  SELECT k.sent_key, pc.p, CASE WHEN k.got + pc.n >= length(wd.word) THEN k.w + 1 ELSE k.w END, CASE WHEN k.got + pc.n >= length(wd.word) THEN 0 ELSE k.got + pc.n END, k.w FROM walk k JOIN pc ON pc.sent_key = k.sent_key AND pc.p = k.p + 1 JOIN wd ON wd.sent_key = k.sent_key AND wd.w = k.w)
+ SELECT wd.sent_key, wd.w::INT AS word, coalesce(array_to_string(list(walk.p ORDER BY walk.p) FILTER (walk.p IS NOT NULL), ' '), '') AS pieces FROM wd LEFT JOIN walk ON walk.sent_key = wd.sent_key AND walk.of = wd.w GROUP BY 1, 2""")
 def merged_pieces(spark, d):
     s = V.parsed(spark, d).where("text IS NOT NULL")
     words = tokenize.tokenizer("blanks")(F.col("text"))
-    return s.select("sent_key", F.posexplode(align.merge_pieces(words, F.transform("tokens", lambda t: F.coalesce(t["text"], F.lit(""))))).alias("word", "pieces"))
+    return s.select("sent_key", F.posexplode(align.merge_pieces(words, F.transform("tokens", lambda t: F.coalesce(t["text"], F.lit(""))))).alias("word", "p")).select("sent_key", "word", F.array_join(F.transform("p", lambda i: i.cast("string")), " ").alias("pieces"))
 
 
 # --- text functions over tokens ----------------------------------------------------------------
@@ -455,10 +479,12 @@ def normal_lemmas(spark, d):
     return report.group_counts(V.gold_words(spark, d).select(S.norm_lemma(F.col("lemma")).alias("lemma")), "lemma")
 
 
-@query(f"""WITH {V.GOLD}, j AS (SELECT sent_key, id, concat_ws(chr(9), id::VARCHAR, text, coalesce(nullif(lemma, ''), '_'), coalesce(pos, '_'), '_', coalesce(head_id::VARCHAR, '_'), coalesce(rel, '_')) AS row FROM gold WHERE text IS NOT NULL AND text <> '' AND NOT regexp_matches(text || coalesce(lemma, ''), '[\\t\\n\\r]'))
-SELECT sent_key, id, row FROM j WHERE sent_key IN (SELECT sent_key FROM sentences WHERE tokens IS NOT NULL)""")
+_LINE = "coalesce(nullif(translate({0}, chr(9) || chr(10) || chr(13), '   '), ''), '_')"
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, id, concat_ws(chr(9), id::VARCHAR, {_LINE.format('text')}, {_LINE.format('lemma')}, {_LINE.format('pos')}, '_', coalesce(head_id::VARCHAR, '_'), {_LINE.format('rel')}) AS row FROM gold")
 def conllu_round_trip(spark, d):
-    s = V.parsed(spark, d).select("sent_key", "text", F.filter("tokens", lambda t: (t["text"] != "") & ~F.concat(t["text"], F.coalesce(t["lemma"], F.lit(""))).rlike("[\\t\\n\\r]")).alias("tokens"))
+    s = V.parsed(spark, d)
     lines = s.select("sent_key", F.explode(conllu.parse_lines(sinks.parsed_block(F.col("text"), F.col("tokens")))).alias("t"))
     blank = lambda c: F.coalesce(F.nullif(F.col(f"t.{c}"), F.lit("")), F.lit("_"))
     return lines.select("sent_key", F.col("t.word").alias("id"), F.concat_ws("\t", "t.id", "t.form", blank("lemma"), blank("upos"), blank("xpos"), blank("head"), blank("deprel")).alias("row"))
@@ -476,7 +502,13 @@ def token_counts_by_lang(spark, d):
     return t.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
 
 
-@query()
+_CUT = r"""cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?…]+[»”")]*)(\s+)([«“"(—–-]?\s*[\p{Lu}\p{N}])', '\1' || chr(1) || '\2\3', 'g'), '(\n+)', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS sent FROM cut),
+starts AS (SELECT *, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY sent) - length(raw) AS start FROM raw),
+sents AS (SELECT doc_id, sent::INT AS sent, regexp_replace(regexp_replace(raw, '^\s+', ''), '\s+$', '') AS text, (start + length(regexp_extract(raw, '^\s*')))::INT AS start_char FROM starts WHERE NOT regexp_full_match(raw, '\s*'))"""
+
+
+@query(rf"WITH {_CUT} SELECT doc_id, sent, start_char, (start_char + length(text))::INT AS end_char, len(regexp_extract_all(text, '([\p{{L}}\p{{M}}]+|\p{{N}}+|[^\s\p{{L}}\p{{M}}\p{{N}}])', 1))::INT AS n_tokens FROM sents")
 def document_sentences(spark, d):
     s = tokenize.sentences_with_spans(read_table(spark, d, "documents"))
     return s.select("doc_id", "sent", "start_char", "end_char", F.size("tokens").alias("n_tokens"))
@@ -505,26 +537,7 @@ def audit_top5(spark, d):
     return audit.top_errors(_audited(spark, d))
 
 
-# --- literal cases -----------------------------------------------------------------------------
-
-
-def _values(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-_HEADS = [("1_5", 5, 0), ("7", 7, 7), (None, 0, 0), ("_", 0, 0), ("x", 0, 0), ("-1", -1, 0)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, {a}, {b})" for n, (_, a, b) in enumerate(_HEADS)) + ") AS v(n, head, digits)")
-def head_ids(spark, d):
-    r = _values(spark, [(i, h) for i, (h, _, _) in enumerate(_HEADS)], "n int, h string")
-    return r.select("n", S.head_int(F.col("h")).alias("head"), F.coalesce(S.head_digits(F.col("h")), F.lit(0)).alias("digits"))
-
-
-@query("SELECT * FROM (VALUES ('сек.', 'cut_prefix=0|cut_suffix=1|append_suffix=унда', 'секунда'), ('Наилучший', 'cut_prefix=3|cut_suffix=0|append_suffix=', 'лучший'), ('Слово', 'none', 'слово')) AS v(word, rule, lemma)")
-def lemma_rules(spark, d):
-    r = _values(spark, [("сек.", "cut_prefix=0|cut_suffix=1|append_suffix=унда"), ("Наилучший", "cut_prefix=3|cut_suffix=0|append_suffix="), ("Слово", "none")], "word string, rule string")
-    return r.select("word", "rule", S.lemma_rule_apply(F.col("word"), F.col("rule")).alias("lemma"))
+# --- decoding ----------------------------------------------------------------------------------
 
 
 @query(f"WITH {V.GOLD} SELECT count(*) AS n, count(*) AS restored FROM gold WHERE text IS NOT NULL AND lemma IS NOT NULL")
@@ -534,25 +547,6 @@ def lemma_rule_round_trip(spark, d):
     return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("back") == F.col("lemma")).alias("restored"))
 
 
-@query("SELECT * FROM (VALUES ('S,муж', 'дом', 'NOUN'), ('V=пр', 'шёл', 'VERB'), ('CONJ', 'и', 'CCONJ'), ('ZZ', 'x', 'X'), ('S', '!', 'PUNCT'), ('PR=', 'в', 'ADP')) AS v(grammar, form, pos)")
-def universal_tags(spark, d):
-    r = _values(spark, [("S,муж", "дом"), ("V=пр", "шёл"), ("CONJ", "и"), ("ZZ", "x"), ("S", "!"), ("PR=", "в")], "grammar string, form string")
-    return r.select("grammar", "form", S.universal_pos(F.col("grammar"), F.col("form")).alias("pos"))
-
-
-@query("SELECT * FROM (VALUES ('#NULL a b #NULL #NULL c', '0.1 1 2 2.1 2.2 3'), ('a', '1'), ('a #NULL', '1 1.1')) AS v(words, ids)")
-def word_ids(spark, d):
-    r = _values(spark, [("#NULL a b #NULL #NULL c",), ("a",), ("a #NULL",)], "words string")
-    return r.select("words", F.array_join(decode.enumerate_words(F.split("words", " ")), " ").alias("ids"))
-
-
-@query("SELECT * FROM (VALUES ('[CLS] a #NULL b', '0:0 1:1 3:2'), ('[CLS]', '0:0')) AS v(words, mapping)")
-def id_mappings(spark, d):
-    r = _values(spark, [("[CLS] a #NULL b",), ("[CLS]",)], "words string")
-    entries = F.map_entries(decode.id_mapping(F.split("words", " ")))
-    return r.select("words", F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), " ").alias("mapping"))
-
-
 @query(f"WITH {V.GOLD}, s AS (SELECT sent_key, id AS \"to\", head_id AS a, length(coalesce(text, '')) % 7 AS x FROM gold WHERE head_id IS NOT NULL), e AS (SELECT sent_key, \"to\", a AS \"from\", x AS score FROM s UNION ALL SELECT sent_key, \"to\", a + 1, 3 FROM s) SELECT sent_key, \"to\", \"from\", score::INT AS score FROM e QUALIFY row_number() OVER (PARTITION BY sent_key, \"to\" ORDER BY score DESC, \"from\") = 1")
 def greedy_arcs(spark, d):
     s = V.gold_words(spark, d).where("head_id IS NOT NULL").select("sent_key", F.col("id").alias("to"), F.col("head_id").alias("a"), (F.length(F.coalesce("text", F.lit(""))) % 7).alias("x"))
@@ -586,9 +580,9 @@ def global_offsets(spark, d):
     return s.select("sent_key", "t.*")
 
 
-@query(r"SELECT DISTINCT text, regexp_full_match(text, '\p{L}+') AS is_alpha, regexp_full_match(text, '\p{Nd}+') AS is_digit, regexp_full_match(text, '\p{P}+') AS is_punct, regexp_full_match(text, '(?:https?://|www\.)\S+') AS like_url, lower(text) AS lower FROM treebank_tokens WHERE text IS NOT NULL AND NOT contains(text, chr(10))")
+@query(r"SELECT DISTINCT text, regexp_full_match(text, '\p{L}+') AS is_alpha, regexp_full_match(text, '\p{Nd}+') AS is_digit, regexp_full_match(text, '\p{P}+') AS is_punct, regexp_full_match(text, '(?:https?://|www\.)\S+') AS like_url, lower(text) AS lower FROM treebank_tokens WHERE text IS NOT NULL")
 def form_flags(spark, d):
-    t = read_table(spark, d, "treebank_tokens").where("text IS NOT NULL AND NOT contains(text, chr(10))").select("text").distinct()
+    t = read_table(spark, d, "treebank_tokens").where("text IS NOT NULL").select("text").distinct()
     return t.select("text", adapters.token_flags(F.col("text")).alias("f")).select("text", *(f"f.{c}" for c in ("is_alpha", "is_digit", "is_punct", "like_url", "lower")))
 
 
@@ -614,7 +608,9 @@ def source_metadata(spark, d):
     return s.select("sent_key", "corpus", "split", S.falsy(F.col("genre"), F.coalesce("default_genre", F.lit("unknown"))).alias("genre"))
 
 
-@query()
+@query(rf"""WITH {_CUT}, pieces AS (SELECT doc_id, sent, start_char, regexp_extract_all(text, '(?s)(\s+|[\p{{L}}\p{{M}}]+|\p{{N}}+|.)', 1) AS p FROM sents),
+ each AS (SELECT doc_id, sent, start_char, unnest(p) AS text, generate_subscripts(p, 1) AS k FROM pieces), placed AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id, sent ORDER BY k) AS stop FROM each)
+ SELECT doc_id, sent, (row_number() OVER (PARTITION BY doc_id, sent ORDER BY k))::INT AS id, text, 0 AS head_id, 'root' AS rel, (start_char + stop - length(text))::INT AS start_char, (start_char + stop)::INT AS end_char FROM placed WHERE NOT regexp_full_match(text, '\s+')""")
 def processed_documents(spark, d):
     p = pipelines.process(read_table(spark, d, "documents"))
     return p.select("doc_id", "sent", F.explode("tokens").alias("t")).select("doc_id", "sent", "t.*")
@@ -629,3 +625,365 @@ def model_benchmark(spark, d):
     parser = V.pred_words(spark, d).select(F.lit("parser").alias("model"), "sent_key", "id", "head_id", "rel")
     b = pipelines.benchmark(gold, chain.unionByName(parser))
     return b.select("model", "words", "uas", "las", F.round("macro_uas", 9).alias("macro_uas"), F.round("macro_las", 9).alias("macro_las"))
+
+
+# --- values of every token ---------------------------------------------------------------------
+
+
+@query("SELECT tok_key, coalesce(TRY_CAST(regexp_extract(h, '[^_]*$') AS INT), 0) AS head, CASE WHEN regexp_full_match(h, '[0-9]+') THEN TRY_CAST(h AS INT) ELSE 0 END AS digits FROM (SELECT tok_key, CASE tok_key % 5 WHEN 0 THEN head_id::VARCHAR WHEN 1 THEN '3_' || head_id::VARCHAR WHEN 2 THEN '_' WHEN 3 THEN NULL ELSE rel END AS h FROM treebank_tokens)")
+def head_ids(spark, d):
+    kind, head = F.col("tok_key") % 5, F.col("head_id").cast("string")
+    h = F.when(kind == 0, head).when(kind == 1, F.concat(F.lit("3_"), head)).when(kind == 2, "_").when(kind == 4, F.col("rel"))
+    t = read_table(spark, d, "treebank_tokens").select("tok_key", h.alias("h"))
+    return t.select("tok_key", S.head_int(F.col("h")).alias("head"), F.coalesce(S.head_digits(F.col("h")), F.lit(0)).alias("digits"))
+
+
+@query("SELECT tok_key, CASE WHEN tok_key % 7 = 0 THEN lower(text) ELSE substr(text, (length(text) % 3 + 1)::INT, greatest(length(text) - length(text) % 3 - tok_key % 3, 0)::INT) || regexp_extract(coalesce(pos, ''), '^[^|]*') END AS lemma FROM treebank_tokens")
+def lemma_rules(spark, d):
+    rule = F.when(F.col("tok_key") % 7 == 0, "none").otherwise(F.concat(F.lit("cut_prefix="), (F.length("text") % 3).cast("string"), F.lit("|cut_suffix="), (F.col("tok_key") % 3).cast("string"), F.lit("|append_suffix="), F.coalesce("pos", F.lit(""))))
+    return read_table(spark, d, "treebank_tokens").select("tok_key", S.lemma_rule_apply(F.col("text"), rule).alias("lemma"))
+
+
+_TAGS = [*S.POS_MAP, "ZZ"]
+
+
+@query(f"SELECT tok_key, CASE WHEN contains('{S.PUNCTUATION}', text) THEN 'PUNCT' ELSE [{', '.join(repr(v) for v in S.POS_MAP.values())}, 'X'][(tok_key % {len(_TAGS)} + 1)::INT] END AS pos FROM treebank_tokens WHERE text IS NOT NULL")
+def universal_tags(spark, d):
+    grammar = F.concat(F.get(F.array(*map(F.lit, _TAGS)), (F.col("tok_key") % len(_TAGS)).cast("int")), F.get(F.array(F.lit(",муж"), F.lit("=пр"), F.lit("")), (F.col("tok_key") % 3).cast("int")))
+    return read_table(spark, d, "treebank_tokens").where("text IS NOT NULL").select("tok_key", S.universal_pos(grammar, F.col("text")).alias("pos"))
+
+
+_NULLED = """n AS (SELECT sent_key, k, t.id % 4 = 0 AS gap, coalesce(t.text, '') AS text FROM (SELECT sent_key, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS k FROM sentences)),
+m AS (SELECT *, count(*) FILTER (NOT gap) OVER (PARTITION BY sent_key ORDER BY k) AS w FROM n)"""
+
+
+def _nulled(spark, d):
+    words = F.transform("tokens", lambda t: F.when(t["id"] % 4 == 0, decode.NULL_WORD).otherwise(F.coalesce(t["text"], F.lit(""))))
+    return V.parsed(spark, d).where("size(tokens) > 0").select("sent_key", words.alias("words"))
+
+
+@query(f"WITH {_NULLED} SELECT sent_key, (k - 1)::INT AS k, CASE WHEN gap THEN w || '.' || count(*) FILTER (gap) OVER (PARTITION BY sent_key, w ORDER BY k) ELSE w::VARCHAR END AS id FROM m")
+def word_ids(spark, d):
+    return _nulled(spark, d).select("sent_key", F.posexplode(decode.enumerate_words(F.col("words"))).alias("k", "id"))
+
+
+@query(f"WITH {_NULLED} SELECT sent_key, k::INT AS place, w::INT AS id FROM m WHERE NOT gap UNION ALL SELECT DISTINCT sent_key, 0, 0 FROM n")
+def id_mappings(spark, d):
+    return _nulled(spark, d).select("sent_key", F.explode(decode.id_mapping(decode.prepend_start(F.col("words")))).alias("place", "id"))
+
+
+@query(f"""WITH {_NULLED}, b AS (SELECT sent_key, w AS i, text FROM m WHERE NOT gap UNION ALL SELECT DISTINCT sent_key, 0, '[CLS]' FROM n), e AS (SELECT sent_key, i, r, CASE WHEN r = 0 THEN text ELSE '#NULL' END AS word FROM (SELECT *, unnest(range(i % 3 + 1)) AS r FROM b))
+ SELECT sent_key, (row_number() OVER (PARTITION BY sent_key ORDER BY i, r) - 1)::INT AS k, word FROM e""")
+def added_nulls(spark, d):
+    base = decode.prepend_start(decode.remove_nulls(F.col("words")))
+    return _nulled(spark, d).select("sent_key", S.let(base, lambda b: decode.add_nulls(b, F.transform(b, lambda _, i: i % 3))).alias("w")).select("sent_key", F.posexplode("w").alias("k", "word"))
+
+
+@query(f"WITH {_NULLED}, c AS (SELECT sent_key, count(*) AS n, count_if(NOT gap) AS w, sum(CASE WHEN gap THEN -1 ELSE length(text) END) AS s FROM n GROUP BY 1) SELECT sent_key, least(n, 50)::INT AS padded, w::INT AS words, (w * w)::INT AS pairs, s::DOUBLE AS total FROM c")
+def mask_counts(spark, d):
+    true = lambda c: F.size(F.filter(c, lambda x: x))
+    w, mask = F.col("words"), decode.null_mask(F.col("words"))
+    lengths = F.transform(w, lambda x: F.length(x).cast("double"))
+    return _nulled(spark, d).select("sent_key", true(decode.padding_mask(w, F.lit(50))).alias("padded"), true(mask).alias("words"), S.let(mask, lambda m: F.aggregate(decode.pairwise_mask(m), F.lit(0), lambda a, r: a + true(r))).alias("pairs"), F.aggregate(decode.replace_masked(lengths, mask, -1.0), F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT tok_key, head_id::VARCHAR AS head, rel FROM treebank_tokens WHERE head_id IS NOT NULL AND rel IS NOT NULL")
+def dependencies(spark, d):
+    t = read_table(spark, d, "treebank_tokens").where("head_id IS NOT NULL AND rel IS NOT NULL")
+    return t.select("tok_key", decode.dependency(F.concat_ws(":", F.col("head_id").cast("string"), "rel")).alias("x")).select("tok_key", "x.*")
+
+
+_RELS = ["nsubj", "obj", "root", "punct", "case"]
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, id AS i, CASE WHEN id % 5 = 0 OR head_id IS NULL THEN 0 ELSE head_id END::INT AS head_id, CASE WHEN id % 5 = 0 OR head_id IS NULL OR rel IS NULL OR rel NOT IN ({', '.join(map(repr, _RELS))}) THEN 'root' ELSE rel END AS deprel FROM gold")
+def arc_tokens(spark, d):
+    g = V.gold_words(spark, d)
+    arcs = g.where("id % 5 <> 0 AND head_id IS NOT NULL").select("sent_key", F.col("id").alias("to"), F.when(F.col("head_id") == 0, F.col("id")).otherwise(F.col("head_id")).alias("from"), (F.array_position(F.array(*map(F.lit, _RELS)), F.col("rel")) - 1).cast("int").alias("rel"))
+    arcs = arcs.withColumn("rel", F.when(F.col("rel") >= 0, F.col("rel")))
+    return decode.arcs_to_tokens(g.select("sent_key", F.col("id").alias("i")), arcs, _RELS)
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, id AS \"to\", head_id AS \"from\", (length(coalesce(text, '')) % 7 - 3)::INT AS score, rel FROM gold WHERE head_id IS NOT NULL AND length(coalesce(text, '')) % 7 > 3")
+def labelled_arcs(spark, d):
+    g = V.gold_words(spark, d).where("head_id IS NOT NULL").select("sent_key", F.col("id").alias("to"), F.col("head_id").alias("from"), (F.length(F.coalesce("text", F.lit(""))) % 7 - 3).alias("score"), "rel")
+    return decode.label_arcs(decode.multi_arcs(g.drop("rel")), g.select("sent_key", "to", "from", "rel"))
+
+
+@query(f"""WITH RECURSIVE {V.GOLD}, {V.TREE}, ok AS (SELECT sent_key FROM gold GROUP BY 1 HAVING count_if(head_id = 0) = 1 AND count(head_id) = count(*) AND max(id) = count(*) AND min(id) = 1 AND count(DISTINCT id) = count(*) AND max(head_id) <= count(*))
+ SELECT g.sent_key, g.id, g.head_id FROM gold g JOIN ok USING (sent_key) JOIN depths d USING (sent_key) WHERE d.v3 > 0""")
+def decoded_trees(spark, d):
+    """Scores that favour the stored heads give back the stored trees."""
+    ids, heads = F.transform("tokens", lambda t: t["id"]), F.transform("tokens", lambda t: t["head_id"])
+    n = F.size("tokens")
+    whole = (F.size(F.filter(heads, lambda h: h == 0)) == 1) & (F.size(F.filter(heads, lambda h: h.isNull() | (h > n))) == 0) & (ids == F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
+    s = V.parsed(spark, d).where((n > 0) & F.coalesce(whole, F.lit(False))).where(profile.depth_v3(F.col("tokens")) > 0)
+    matrix = F.transform("tokens", lambda h: F.transform("tokens", lambda t: F.when((t["head_id"] == h["id"]) | (t["head_id"] == 0) & (t["id"] == h["id"]), 5.0).otherwise(0.0)))
+    found = s.select("sent_key", matrix.alias("scores")).select("sent_key", udfs.tree_heads("scores").alias("heads")).select("sent_key", F.posexplode("heads").alias("i", "h"))
+    return found.select("sent_key", (F.col("i") + 1).alias("id"), F.when(F.col("h") == F.col("i"), 0).otherwise(F.col("h") + 1).alias("head_id"))
+
+
+@query("SELECT vec_id % 50 AS sent_key, label AS word, k, round(avg(x::DOUBLE), 5) + 0.0 AS x FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY 1, 2, 3")
+def mean_vectors(spark, d):
+    e = read_table(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("sent_key"), F.col("label").alias("word"), F.col("embedding").cast("array<double>").alias("vector"))
+    return decode.mean_pool(e).select("sent_key", "word", F.posexplode("vector").alias("k", "x")).withColumn("x", F.round("x", 5) + 0.0).withColumn("k", F.col("k").cast("bigint"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding[1:5])::DOUBLE AS x FROM embeddings), m AS (SELECT vec_id, max(x) AS m FROM e GROUP BY 1)
+ SELECT vec_id, round(max(exp(x - m)) / sum(exp(x - m)), 6) AS upos_proba, round(1.0 / (vec_id % 4 + 1), 6)::DOUBLE AS head_proba, 0.95::DOUBLE AS root_proba FROM e JOIN m USING (vec_id) GROUP BY vec_id""")
+def tag_probabilities(spark, d):
+    none = F.lit(None)
+    e = read_table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 4).cast("int").alias("n"), F.slice("embedding", 1, 5).cast("array<double>").alias("upos_energies"), none.cast("array<double>").alias("head_energies"), none.cast("array<double>").alias("deprel_energies"), none.cast("array<string>").alias("labels"))
+    p = decode.probabilities(e)
+    return p.select("vec_id", F.round("upos_proba", 6).alias("upos_proba"), F.round(F.get("heads_proba", F.lit(0)), 6).alias("head_proba"), F.col("deps_proba")["root"].alias("root_proba"))
+
+
+@query("SELECT vec_id, k::INT AS index, x::DOUBLE AS value FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, k) <= 5")
+def top_values(spark, d):
+    e = read_table(spark, d, "embeddings").select("vec_id", F.explode(decode.top_entries(F.col("embedding"))).alias("x"))
+    return e.select("vec_id", "x.index", F.col("x.value").cast("double").alias("value"))
+
+
+@query("SELECT avg(u) AS upos_avg, min(u) AS upos_min, max(u) AS upos_max, avg(h) AS head_avg, min(h) AS head_min, max(h) AS head_max FROM (SELECT (tok_key % 100) / 128.0::DOUBLE AS u, CASE WHEN head_id BETWEEN 0 AND 2 THEN [0.5, 0.25, 0.125][head_id + 1]::DOUBLE END AS h FROM treebank_tokens)")
+def parse_confidence(spark, d):
+    t = read_table(spark, d, "treebank_tokens").select(((F.col("tok_key") % 100) / 128.0).alias("upos_proba"), F.col("head_id").alias("head"), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.125)).alias("heads_proba"), F.lit("x").alias("deprel"), F.create_map(F.lit("root"), F.lit(0.9)).alias("deps_proba"))
+    t = t.withColumn("head", F.when(F.col("head") >= 0, F.col("head")))
+    return metrics.confidence(t).select(*(f"{k}_{n}" for k in ("upos", "head") for n in ("avg", "min", "max")))
+
+
+# --- shaping of what parsers give --------------------------------------------------------------
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, id, coalesce(lead(start_char) OVER (PARTITION BY sent_key ORDER BY id) > end_char, false) AS gap FROM gold")
+def space_flags(spark, d):
+    z = F.arrays_zip(F.transform("tokens", lambda t: t["id"]).alias("id"), tokenize.space_flags(F.col("tokens")).alias("gap"))
+    return V.parsed(spark, d).select("sent_key", F.explode(z).alias("z")).select("sent_key", "z.id", "z.gap")
+
+
+@query(f"""WITH {V.GOLD}, n AS (SELECT g.sent_key, g.id, g.end_char AS e, lead(g.start_char) OVER (PARTITION BY g.sent_key ORDER BY g.id) AS a, s.text FROM gold g JOIN sentences s USING (sent_key) WHERE s.text IS NOT NULL)
+ SELECT sent_key, id, CASE WHEN a = e THEN 'SpaceAfter=No' WHEN a > e + 1 THEN 'SpacesAfter=''' || replace(replace(replace(substr(text, e + 1, a - e), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') || '''' ELSE '_' END AS misc FROM n""")
+def spaces_after(spark, d):
+    z = F.arrays_zip(F.transform("tokens", lambda t: t["id"]).alias("id"), tokenize.spaces_after(F.col("text"), F.col("tokens")).alias("misc"))
+    return V.parsed(spark, d).where("text IS NOT NULL").select("sent_key", F.explode(z).alias("z")).select("sent_key", "z.id", "z.misc")
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, k, text FROM (SELECT sent_key, (row_number() OVER (PARTITION BY sent_key ORDER BY id) - 1)::INT AS k, text FROM gold WHERE text <> '' AND NOT starts_with(text, '##'))")
+def glued_pieces(spark, d):
+    forms = F.filter(F.transform("tokens", lambda t: t["text"]), lambda x: (x != "") & ~x.startswith("##"))
+    cut = F.flatten(F.transform(forms, lambda x: F.when(F.length(x) > 3, F.array(F.substring(x, 1, 3), F.concat(F.lit("##"), F.substring(x, F.lit(4), F.length(x))))).otherwise(F.array(x))))
+    return V.parsed(spark, d).select("sent_key", F.posexplode(tokenize.glue_pieces(cut)).alias("k", "text"))
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, (row_number() OVER (PARTITION BY sent_key ORDER BY id))::INT AS id, trim(text, ' ') AS text FROM gold WHERE trim(text, ' ') <> ''")
+def stripped_tokens(spark, d):
+    padded = F.transform("tokens", lambda t: F.concat(F.lit("  "), t["text"], F.lit(" ")))
+    return V.parsed(spark, d).select("sent_key", F.explode(tokenize.drop_blank(padded)).alias("t")).select("sent_key", "t.*")
+
+
+@query(f"WITH {V.GOLD} SELECT sent_key, id, CASE WHEN head_id = 0 OR head_id = id THEN 0 ELSE head_id END AS head FROM gold")
+def local_heads(spark, d):
+    doc = F.transform("tokens", lambda t: F.struct((t["id"] + 100).alias("i"), F.when(t["head_id"] == 0, t["id"] + 100).otherwise(t["head_id"] + 100).alias("head")))
+    z = F.arrays_zip(F.transform("tokens", lambda t: t["id"]).alias("id"), adapters.local_heads(doc, F.lit(101)).alias("head"))
+    return V.parsed(spark, d).select("sent_key", F.explode(z).alias("z")).select("sent_key", "z.id", "z.head")
+
+
+@query(f"WITH {V.GOLD}, n AS (SELECT *, row_number() OVER (PARTITION BY sent_key ORDER BY id) AS k FROM gold), {V.SYS} SELECT n.sent_key, n.id, s.start_char, s.end_char FROM n JOIN sys s ON s.sent_key = n.sent_key AND s.id = n.k")
+def spans_by_place(spark, d):
+    p = V.pairs(spark, d)
+    return p.select("sent_key", F.explode(adapters.spans_by_ordinal(F.col("gold"), F.col("sys"))).alias("z")).select("sent_key", "z.token.id", "z.start_char", "z.end_char")
+
+
+@query(f"WITH {V.GOLD}, n AS (SELECT *, row_number() OVER (PARTITION BY sent_key ORDER BY id) AS k FROM gold), {V.SYS} SELECT s.sent_key, s.id, s.start_char, s.end_char, coalesce(nullif(n.lemma, ''), '_') AS lemma, coalesce(nullif(n.pos, ''), '_') AS pos, coalesce(n.head_id, 0) AS head_id, coalesce(nullif(n.rel, ''), '_') AS rel FROM n JOIN sys s ON s.sent_key = n.sent_key AND s.id = n.k")
+def parse_by_place(spark, d):
+    s = V.parsed(spark, d).where("text IS NOT NULL")
+    sys = align.covering_spans(F.col("text"), "\\S+", "\\s+")
+    return s.select("sent_key", F.explode(adapters.merge_by_place(sys, F.col("tokens"))).alias("t")).select("sent_key", "t.*")
+
+
+@query(_SQL["merged_pieces"].split(" SELECT wd.sent_key")[0] + """, fst AS (SELECT sent_key, "of" AS w, min(p) AS p FROM walk WHERE p >= 0 GROUP BY 1, 2), tk AS (SELECT sent_key, p - 1 AS p, t.lemma AS lemma, t.pos AS pos, t.head_id AS head_id, t.rel AS rel FROM (SELECT sent_key, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS p FROM sentences)),
+ r AS (SELECT f.sent_key, f.w + 1 AS id, wd.word AS text, tk.lemma, tk.pos, CASE WHEN tk.head_id = 0 THEN 0 ELSE coalesce(h."of" + 1, 0) END AS head, tk.rel FROM fst f JOIN wd ON wd.sent_key = f.sent_key AND wd.w = f.w JOIN tk ON tk.sent_key = f.sent_key AND tk.p = f.p LEFT JOIN walk h ON h.sent_key = f.sent_key AND h.p >= 0 AND h.p = tk.head_id - 1)
+ SELECT sent_key, id::INT AS id, text, lemma, pos, head::INT AS head_id, CASE WHEN head = id THEN 'flat:merged' ELSE rel END AS rel FROM r""")
+def merged_parses(spark, d):
+    s = V.parsed(spark, d).where("text IS NOT NULL")
+    merged = align.merge_parsed(tokenize.tokenizer("blanks")(F.col("text")), F.col("tokens"))
+    return s.select("sent_key", F.explode(merged).alias("t")).select("sent_key", *(f"t.{c}" for c in ("id", "text", "lemma", "pos", "head_id", "rel")))
+
+
+@query(f"WITH {V.GOLD} SELECT a.sent_key, a.id, array_to_string(list(b.id ORDER BY b.id), ' ') AS children FROM gold a JOIN gold b ON b.sent_key = a.sent_key AND b.head_id = a.id GROUP BY 1, 2")
+def child_lists(spark, d):
+    c = V.parsed(spark, d).select("sent_key", F.explode(adapters.children(F.col("tokens"))).alias("t")).where("size(t.children) > 0")
+    return c.select("sent_key", "t.id", F.array_join(F.transform("t.children", lambda i: i.cast("string")), " ").alias("children"))
+
+
+@query(f"""WITH {V.GOLD}, r AS (SELECT sent_key, split_part(id, '-', 1)::INT AS a, split_part(id, '-', 2)::INT AS b, text AS ner, misc FROM treebank_tokens WHERE regexp_full_match(id, '[0-9]+-[0-9]+'))
+ SELECT g.sent_key, g.id, r.ner, CASE WHEN g.id = r.b THEN r.misc END AS misc FROM gold g LEFT JOIN r ON r.sent_key = g.sent_key AND g.id BETWEEN r.a AND r.b""")
+def propagated(spark, d):
+    t = read_table(spark, d, "treebank_tokens").where(F.col("id").rlike("^[0-9]+-[0-9]+$")).select("sent_key", F.split("id", "-")[0].cast("int").alias("first"), F.split("id", "-")[1].cast("int").alias("last"), F.col("text").alias("ner"), "misc").where("first <= last")
+    return adapters.propagate(V.gold_words(spark, d).select("sent_key", "id"), t)
+
+
+@query("SELECT count_if(tok_key % 4 = 0) AS per, count_if(tok_key % 4 = 1) AS loc, count_if(tok_key % 4 = 2) AS org FROM treebank_tokens")
+def entity_counts(spark, d):
+    k = F.col("tok_key") % 4
+    return adapters.entity_counts(read_table(spark, d, "treebank_tokens").select(F.when(k == 0, "B-PER").when(k == 1, "I-LOC").when(k == 2, "ORG").alias("ner")))
+
+
+@query("SELECT pos AS key, (tok_key % 1000)::DOUBLE / 10 AS value FROM treebank_tokens WHERE regexp_full_match(pos, '[A-Z]+') AND tok_key % 3 <> 0")
+def evaluator_lines(spark, d):
+    t = read_table(spark, d, "treebank_tokens").where(F.col("pos").rlike("^[A-Z]+$"))
+    number = F.format_string("%.1f", (F.col("tok_key") % 1000) / F.lit(10.0))
+    return adapters.evaluator_scores(t.select(F.when(F.col("tok_key") % 3 == 0, F.concat("pos", F.lit(" none"))).otherwise(F.concat("pos", F.lit(" = "), number, F.lit(" %"))).alias("value")))
+
+
+@query(f"WITH {_ERRORS} SELECT CASE WHEN len(errors) = 0 THEN 'good' ELSE 'bad' END AS part, sent_key FROM e")
+def valid_parts(spark, d):
+    good, bad = validate.split_valid(read_table(spark, d, "sentences"))
+    return good.select(F.lit("good").alias("part"), "sent_key").unionByName(bad.select(F.lit("bad").alias("part"), "sent_key"))
+
+
+@query("SELECT tok_key, coalesce(nullif(pos, ''), '_') AS upos, coalesce(nullif(rel, ''), '_') AS xpos, coalesce(nullif(feats, ''), '_') AS feats FROM treebank_tokens")
+def tag_parts(spark, d):
+    tag = F.concat(F.coalesce("pos", F.lit("")), F.lit("#"), F.coalesce("rel", F.lit("")), F.lit("#"), F.coalesce("feats", F.lit("")))
+    return read_table(spark, d, "treebank_tokens").select("tok_key", *(S.tag_part(tag, i).alias(n) for i, n in enumerate(("upos", "xpos", "feats"))))
+
+
+@query("SELECT source_file, replace(replace(replace(source_file || '_full_clean', '_full', ''), '_adapted', ''), '_clean', '') AS stem FROM source_files")
+def clean_stems(spark, d):
+    return read_table(spark, d, "source_files").select("source_file", S.clean_stem(F.concat("source_file", F.lit("_full_clean"))).alias("stem"))
+
+
+@query("SELECT source_file AS model, avg(len(tokens) / 64.0)::DOUBLE AS uas, avg(block_id % 8)::DOUBLE AS las, count(*)::DOUBLE / sum(len(text) + 1) AS sentences_per_second FROM sentences WHERE tokens IS NOT NULL AND text IS NOT NULL GROUP BY 1")
+def model_throughput(spark, d):
+    s = V.parsed(spark, d).where("text IS NOT NULL").select(F.col("source_file").alias("model"), (F.size("tokens") / 64.0).alias("uas"), (F.col("block_id") % 8).alias("las"), (F.length("text") + 1).alias("seconds"))
+    return adapters.throughput(s)
+
+
+@query("SELECT sent_key, coalesce(nullif(text, ''), (SELECT coalesce(string_agg(x.text, ' '), '') FROM (SELECT unnest(tokens) AS x))) AS text FROM sentences")
+def texts_or_forms(spark, d):
+    return read_table(spark, d, "sentences").select("sent_key", adapters.text_or_forms(F.col("text"), F.coalesce(F.transform("tokens", lambda t: t["text"]), F.array().cast("array<string>"))).alias("text"))
+
+
+@query(r"""WITH c AS (SELECT sent_key, unnest(string_split_regex(text, '[.!?]+')) AS p FROM sentences WHERE text IS NOT NULL), t AS (SELECT sent_key, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM c) SELECT sent_key, count(*) AS sentences, sum(len(string_split_regex(p, '\s+')))::BIGINT AS words FROM t WHERE p <> '' GROUP BY 1""")
+def simple_sentence_counts(spark, d):
+    s = read_table(spark, d, "sentences").where("text IS NOT NULL").select("sent_key", F.explode(tokenize.simple_sentences(F.col("text"))).alias("w"))
+    return s.groupBy("sent_key").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size("w")).alias("words"))
+
+
+@query("SELECT sent_key, count_if(NOT regexp_full_match(id, '[0-9]+')) AS ellipses FROM treebank_tokens GROUP BY 1")
+def ellipsis_counts(spark, d):
+    return read_table(spark, d, "treebank_tokens").groupBy("sent_key").agg(F.count_if(S.id_kind(F.col("id")) != "word").alias("ellipses"))
+
+
+@query(f"WITH {V.GOLD}, n AS (SELECT pos, rel, text, count(*) AS n FROM gold WHERE pos IS NOT NULL AND rel IS NOT NULL AND text IS NOT NULL GROUP BY ALL) SELECT pos AS model, rel AS gold, text AS pred, n, (row_number() OVER (PARTITION BY pos ORDER BY n DESC, rel COLLATE BINARY, text COLLATE BINARY))::INT AS rank FROM n QUALIFY rank <= 5".replace(" COLLATE BINARY", ""))
+def top_pairs(spark, d):
+    g = V.gold_words(spark, d).where("pos IS NOT NULL AND rel IS NOT NULL AND text IS NOT NULL")
+    return audit.top_errors(g.select(F.col("pos").alias("model"), F.col("rel").alias("gold"), F.col("text").alias("pred")))
+
+
+@query("WITH g AS (SELECT coalesce(genre, 'none') AS genre, coalesce(source_file, 'none') AS file FROM sentences) SELECT a.genre, b.file, (SELECT count(*) FROM g WHERE g.genre = a.genre AND g.file = b.file) AS n FROM (SELECT DISTINCT genre FROM g) a, (SELECT DISTINCT file FROM g) b")
+def genre_file_table(spark, d):
+    s = read_table(spark, d, "sentences").select(F.coalesce("genre", F.lit("none")).alias("genre"), F.coalesce("source_file", F.lit("none")).alias("file"))
+    return audit.crosstab(s, "genre", "file")
+
+
+@query(r"""WITH s AS (SELECT sent_key, tokens, text FROM sentences WHERE tokens IS NOT NULL AND text <> '') SELECT sent_key, model, len(tokens) - len(CASE model WHEN 'words' THEN regexp_extract_all(text, '([\p{L}\p{M}]+(?:-[\p{L}\p{M}]+)*|\p{N}+|[^\s\p{Z}\p{L}\p{M}\p{N}])', 1) WHEN 'plain' THEN regexp_extract_all(text, '([\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}])', 1) ELSE regexp_extract_all(text, '(\S+)', 1) END) AS surplus FROM s, (SELECT unnest(['words', 'plain', 'blanks']) AS model)""")
+def audit_balance(spark, d):
+    """What the differing blocks of an audit add up to: tokens of the treebank less those of the model."""
+    s = V.parsed(spark, d).where("text <> ''").select("sent_key", F.transform("tokens", lambda t: t["text"]).alias("gold"), F.explode(tokenize.run_models(F.col("text"), ["words", "plain", "blanks"])).alias("model", "pred"))
+    ops = s.select("sent_key", "model", udfs.diff_opcodes("gold", "pred").alias("ops"))
+    return ops.select("sent_key", "model", F.aggregate("ops", F.lit(0).cast("bigint"), lambda a, o: a + (o["i2"] - o["i1"]) - (o["j2"] - o["j1"])).alias("surplus"))
+
+
+# --- files -------------------------------------------------------------------------------------
+
+
+def _written(spark, d, wide: bool = False) -> str:
+    """A folder of treebank files with all lines of all sentences, a comment naming each sentence."""
+    t = read_table(spark, d, "treebank_tokens")
+    cells = [F.col("id"), F.col("text"), F.col("lemma"), F.col("pos"), F.lit(None), F.col("feats"), F.col("head_id"), F.col("rel"), F.lit(None), F.col("misc")]
+    row = sinks.line(*cells, *([F.col("source_file"), F.col("pos")] if wide else []))
+    lines = t.groupBy("sent_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_key", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    s = read_table(spark, d, "sentences").select("sent_key", "text", "sent_id").join(lines, "sent_key")
+    head = F.array(F.concat(F.lit("# sent_key = "), F.col("sent_key").cast("string")), F.concat(F.lit("# sent_id = "), F.coalesce("sent_id", F.lit(""))), F.concat(F.lit("# text = "), sinks.cell(F.coalesce("text", F.lit("")))))
+    path = f"{checkpoint_dir(spark)}/treebank-{uuid.uuid4().hex}"
+    sinks.write_conllu(s.select(F.array_join(F.concat(head, "rows"), "\n").alias("block")), path)
+    return path
+
+
+_CELL = "coalesce(nullif(nullif(translate({0}, chr(9) || chr(10) || chr(13), '   '), ''), '_'), NULL)"
+_FORM = "coalesce(nullif(translate(text, chr(9) || chr(10) || chr(13), '   '), ''), '_')"
+
+
+def _file_key():
+    return F.col("meta")["sent_key"].cast("bigint").alias("sent_key")
+
+
+@query(f"SELECT sent_key, t.id, {_FORM} AS form, {_CELL.format('lemma')} AS lemma, {_CELL.format('pos')} AS upos, {_CELL.format('feats')} AS feats, head_id::VARCHAR AS head, {_CELL.format('rel')} AS deprel, {_CELL.format('t.misc')} AS misc FROM treebank_tokens t SEMI JOIN sentences s USING (sent_key)".replace("SELECT sent_key, t.id", "SELECT t.sent_key, t.id"))
+def file_lines(spark, d):
+    r = conllu.read_conllu(spark, _written(spark, d)).select(_file_key(), F.explode("tokens").alias("t"))
+    return r.select("sent_key", *(f"t.{c}" for c in ("id", "form", "lemma", "upos", "feats", "head", "deprel", "misc")))
+
+
+@query("SELECT sent_key, nullif(sent_id, '') AS sent_id, nullif(regexp_replace(translate(text, chr(9) || chr(10) || chr(13), '   '), '^\\s+|\\s+$', '', 'g'), '') AS text FROM sentences WHERE sent_key IN (SELECT sent_key FROM treebank_tokens)")
+def file_metadata(spark, d):
+    return conllu.read_conllu(spark, _written(spark, d)).select(_file_key(), "sent_id", "text")
+
+
+_WORDS = f"SELECT t.sent_key, t.id::INT AS id, {_FORM} AS form, head_id, {_CELL.format('rel')} AS rel FROM treebank_tokens t SEMI JOIN sentences s USING (sent_key) WHERE regexp_full_match(id, '[0-9]+') AND head_id IS NOT NULL"
+
+
+@query(_WORDS)
+def file_simple_v1(spark, d):
+    b = conllu.read_blocks(spark, _written(spark, d))
+    return b.select(conllu.metadata(F.col("block")).alias("meta"), conllu.simple_v1(F.col("block")).alias("tokens")).select(_file_key(), F.explode("tokens").alias("t")).select("sent_key", "t.*")
+
+
+@query(_WORDS)
+def file_simple_v2(spark, d):
+    b = conllu.read_blocks(spark, _written(spark, d))
+    return b.select(conllu.metadata(F.col("block")).alias("meta"), conllu.simple_v2(F.col("block")).alias("tokens")).select(_file_key(), F.explode("tokens").alias("t")).select("sent_key", "t.*")
+
+
+@query(f"SELECT t.sent_key, t.id::INT AS id, {_FORM} AS text, {_CELL.format('lemma')} AS lemma, {_CELL.format('pos')} AS pos, CASE WHEN head_id >= 0 THEN head_id ELSE 0 END AS head_id FROM treebank_tokens t SEMI JOIN sentences s USING (sent_key) WHERE regexp_full_match(id, '[0-9]+')")
+def file_parser_output(spark, d):
+    b = conllu.read_blocks(spark, _written(spark, d))
+    return b.select(conllu.metadata(F.col("block")).alias("meta"), conllu.parser_output(F.col("block")).alias("tokens")).select(_file_key(), F.explode("tokens").alias("t")).select("sent_key", "t.id", "t.text", "t.lemma", "t.pos", "t.head_id")
+
+
+@query(f"SELECT t.sent_key, t.id, coalesce({_CELL.format('t.misc')} || '|', '') || 'Sem=' || coalesce(nullif(translate(t.source_file, chr(9) || chr(10) || chr(13), '   '), ''), '_') || '|' || coalesce(nullif(translate(pos, chr(9) || chr(10) || chr(13), '   '), ''), '_') AS misc FROM treebank_tokens t SEMI JOIN sentences s USING (sent_key)")
+def file_folded(spark, d):
+    """Twelve columns come back as ten, the last two in MISC."""
+    r = conllu.read_conllu(spark, _written(spark, d, True)).select(_file_key(), F.explode("tokens").alias("t"))
+    return r.select("sent_key", "t.id", "t.misc")
+
+
+@query("SELECT sent_key, 'new_' || coalesce(nullif(sent_id, ''), 'unknown') AS sent_id, (SELECT count_if(NOT regexp_full_match(t.id, '[0-9]+\\.[0-9]+')) FROM treebank_tokens t WHERE t.sent_key = s.sent_key)::INT AS lines FROM sentences s WHERE sent_key IN (SELECT sent_key FROM treebank_tokens)")
+def file_cleaned(spark, d):
+    s = conllu.read_conllu(spark, _written(spark, d)).withColumn("tokens", conllu.without_empty(F.col("tokens"))).withColumn("key", F.col("meta")["sent_key"].cast("bigint"))
+    return conllu.clean_metadata(s, "new").select(F.col("key").alias("sent_key"), "sent_id", F.size("tokens").alias("lines"))
+
+
+@query("SELECT sent_key, coalesce(genre, '') AS genre, coalesce(source_file, '') AS source_file, block_id FROM sentences")
+def csv_round_trip(spark, d):
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(read_table(spark, d, "sentences").select("sent_key", "genre", "source_file", "block_id"), path)
+    r = fetch.read_csv_folder(spark, path)
+    return r.select(F.col("sent_key").cast("bigint").alias("sent_key"), F.coalesce("genre", F.lit("")).alias("genre"), F.coalesce("source_file", F.lit("")).alias("source_file"), F.col("block_id").cast("bigint").alias("block_id"))
+
+
+@query("SELECT sent_key, text, genre, len(tokens)::BIGINT AS n FROM sentences")
+def json_round_trip(spark, d):
+    path = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    sinks.write_json(read_table(spark, d, "sentences").select("sent_key", "text", "genre", F.when(F.col("tokens").isNotNull(), F.size("tokens").cast("bigint")).alias("n")), path)
+    return spark.read.schema("sent_key bigint, text string, genre string, n bigint").json(path)
+
+
+@query()
+def projected_groups(spark, d):
+    """Alignment types over projected spans: the forms of the parse are found in the text first."""
+    s = V.parsed(spark, d).where("text IS NOT NULL")
+    sys = align.covering_spans(F.col("text"), "\\S+", "\\s+")
+    s = s.select(sys.alias("sys"), udfs.project_spans("text", F.transform("tokens", lambda t: t["text"])).alias("found"))
+    spans = F.filter(F.transform("found", lambda p, i: F.struct((i + 1).alias("id"), p["start"].alias("start_char"), p["end"].alias("end_char"))), lambda t: t["start_char"].isNotNull())
+    p = s.select("sys", spans.alias("spans")).select(F.explode(align.align_groups(F.col("sys"), F.col("spans"))).alias("g"))
+    return report.group_counts(p.select("g.type"), "type")

@@ -19,7 +19,7 @@ def _lines(block: Column) -> Column:
 def metadata(block: Column) -> Column:
     """``# key = value`` lines as a map; of a repeated key the last stays, a key without value is NULL."""
     rows = F.filter(_lines(block), lambda x: x.startswith("#"))
-    pairs = F.transform(rows, lambda x: F.struct(F.trim(F.regexp_extract(x, "^#\\s*([^=]*)", 1)).alias("key"), F.nullif(F.regexp_extract(x, "^#[^=]*=\\s*(.*?)\\s*$", 1), F.lit("")).alias("value")))
+    pairs = F.transform(rows, lambda x: F.struct(F.trim(F.regexp_extract(x, "(?s)^#\\s*([^=]*)", 1)).alias("key"), F.nullif(F.regexp_extract(x, "(?s)^#[^=]*=\\s*(.*?)\\s*$", 1), F.lit("")).alias("value")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
 
@@ -80,7 +80,7 @@ def clean_metadata(sentences: DataFrame, prefix: str) -> DataFrame:
 def simple_v1(block: Column) -> Column:
     """Word forms with head and relation, the first simple reading: ids with ``-`` or ``_`` and rows whose
     id or head is no number are skipped."""
-    t = F.filter(parse_lines(block, 8), lambda x: ~x["id"].rlike("[-_]") & x["id"].try_cast("int").isNotNull() & x["head_id"].isNotNull())
+    t = F.filter(parse_lines(block, 7), lambda x: ~x["id"].rlike("[-_]") & x["id"].try_cast("int").isNotNull() & x["head_id"].isNotNull())
     return F.transform(t, lambda x: F.struct(x["word"].alias("id"), x["form"].alias("form"), x["head_id"].alias("head_id"), x["deprel"].alias("rel")))
 
 

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from lesograf.functions.scalars import falsy
 
 
+def cell(value: Column) -> Column:
+    """One cell of a line: tabs and line breaks, which would end it, as blanks."""
+    return F.translate(value.cast("string"), "\t\n\r", "   ")
+
+
 def line(*values: Column) -> Column:
-    return F.concat_ws("\t", *(falsy(v.cast("string"), "_") for v in values))
+    return F.concat_ws("\t", *(falsy(cell(v), "_") for v in values))
 
 
 def conllu_block(meta: Column, tokens: Column) -> Column:

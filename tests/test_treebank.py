@@ -1,5 +1,6 @@
 """Known answers and edge cases of the core operators."""
 
+import itertools
 import random
 
 import numpy as np
@@ -330,3 +331,55 @@ def test_fetch(tmp_path):
     del urls["taiga"]["train"]
     got = fetch.download_all(urls, f"{tmp_path}/land")
     assert list(got["taiga"]) == ["dev"] and fetch.is_markup(got["taiga"]["dev"])
+
+
+def test_decoded_trees_against_all_trees():
+    """The decoded tree has the greatest sum of probabilities among all trees with that root."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 3, 4):
+        for _ in range(20):
+            scores = rng.normal(size=(n, n)) * 2
+            got = udfs.decode_tree(scores)
+            e = np.exp(scores - scores.max(axis=0))
+            p = e / e.sum(axis=0)
+            root = int(p.diagonal().argmax())
+            best = -1.0
+            for heads in itertools.product(range(n), repeat=n):
+                if heads[root] != root or any(h == d for d, h in enumerate(heads) if d != root):
+                    continue
+                if all(root in _chain(heads, d, n) for d in range(n)):
+                    best = max(best, sum(p[h, d] for d, h in enumerate(heads) if d != root))
+            assert got[root] == root and all(root in _chain(got, d, n) for d in range(n))
+            assert sum(p[h, d] for d, h in enumerate(got) if d != root) == pytest.approx(max(best, 0.0))
+
+
+def _chain(heads, d, n):
+    out = [d]
+    for _ in range(n):
+        out.append(heads[out[-1]])
+    return out
+
+
+def test_small_shapers(spark):
+    from lesograf.operators import adapters, align, report, tokenize
+
+    assert adapters.first_result(lambda: None, lambda: (_ for _ in ()).throw(OSError("x")), lambda: {"uas": 1.0}, lambda: {"uas": 0.0}) == {"uas": 1.0}
+    assert adapters.first_result() is None
+    df = spark.createDataFrame([("а  б\tв\nг",)], "text string").select("text", F.expr("array(named_struct('start_char', 0, 'end_char', 1), named_struct('start_char', 3, 'end_char', 4), named_struct('start_char', 5, 'end_char', 6), named_struct('start_char', 7, 'end_char', 8))").alias("tokens"))
+    assert df.select(tokenize.spaces_after(F.col("text"), F.col("tokens")).alias("m")).first()["m"] == ["SpacesAfter='  '", "_", "_", "_"]
+    assert df.select(tokenize.simple_sentences(F.lit("Да! Он спал...  Нет?")).alias("s")).first()["s"] == [["Да"], ["Он", "спал"], ["Нет"]]
+    pieces = "array(named_struct('text', 'кое', 'lemma', 'кое', 'pos', 'ADV', 'head_id', 3, 'rel', 'dep'), named_struct('text', '-', 'lemma', '-', 'pos', 'PUNCT', 'head_id', 1, 'rel', 'punct'), named_struct('text', 'как', 'lemma', 'как', 'pos', 'ADV', 'head_id', 4, 'rel', 'x'), named_struct('text', 'шёл', 'lemma', 'идти', 'pos', 'VERB', 'head_id', 0, 'rel', 'root'), named_struct('text', 'он', 'lemma', 'он', 'pos', 'PRON', 'head_id', 9, 'rel', 'nsubj'))"
+    got = df.select(align.merge_parsed(F.expr("array('кое-как', 'шёл', 'он', 'мимо')"), F.expr(pieces)).alias("t")).first()["t"]
+    assert [(t["id"], t["text"], t["head_id"], t["rel"], t["n"]) for t in got] == [(1, "кое-как", 1, "flat:merged", 3), (2, "шёл", 0, "root", 1), (3, "он", 0, "nsubj", 1)]
+    assert report.markdown(spark.range(5), 3).endswith("only the first 3 rows") and "only" not in report.markdown(spark.range(3), 3)
+
+
+def test_settled_tables_are_forgotten(spark):
+    import os
+
+    from lesograf.sources import tables
+
+    t = tables.settle(spark.range(3))
+    assert t.count() == 3
+    path = tables._SETTLED[spark.sparkContext.applicationId][-1]
+    assert os.path.isdir(path) and tables.forget_settled(spark) >= 1 and not os.path.isdir(path)
