@@ -420,6 +420,21 @@ def test_consensus_finds_spammers_and_copies(spark):
     assert empty.count() == 0 and nobody.count() == 0
 
 
+def test_consensus_of_many_annotators(spark):
+    """Any ids, negative ones among them, and far more annotators than an item has answers."""
+    rng = random.Random(4)
+    rows, truth = [], {}
+    for k in range(1500):
+        truth[k] = rng.choice(["NOUN", "VERB", "ADJ"])
+        for a in rng.sample(range(-1000, 1000), 5):
+            rows.append((len(rows), k, a, truth[k] if rng.random() < 0.85 else rng.choice(["NOUN", "VERB", "ADJ"]), None, None, None, "2024-01-01"))
+    df = spark.createDataFrame(rows, "ann_key bigint, tok_key bigint, annotator_id int, pos string, rel string, head_id int, lemma string, annotated_at string")
+    labels, people = consensus.consensus(df)
+    got = {r["tok_key"]: r["label"] for r in labels.collect()}
+    assert len(got) == 1500 and sum(got[k] == v for k, v in truth.items()) > 1450
+    assert {r["annotator_id"] for r in people.collect()} == {r[2] for r in rows}
+
+
 # --- p8 and p9 ---------------------------------------------------------------------------------
 
 
