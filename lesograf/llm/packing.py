@@ -82,7 +82,7 @@ _KIND = "row bigint, doc_id bigint, part int, tokens bigint, team bigint, window
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    """The columns of a task's rows; a task holds groups of bounded size."""
+    """The columns of some rows: those of one group, whose size is bounded."""
     names = ("row", "doc_id", "part", "tokens", "team", "window")
     held = [[b.column(n).to_numpy(zero_copy_only=False) for n in names if n in b.schema.names] for b in batches if b.num_rows]
     present = names if not held or len(held[0]) == len(names) else names[:-1]
@@ -93,19 +93,31 @@ def _emit(c: dict[str, np.ndarray], window: np.ndarray, gap: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c["row"], pa.int64()), pa.array(c["doc_id"], pa.int64()), pa.array(c["part"].astype(np.int32)), pa.array(c["tokens"], pa.int64()), pa.array(c["team"], pa.int64()), pa.array(window, pa.int64()), pa.array(gap, pa.int64())], names=["row", "doc_id", "part", "tokens", "team", "window", "gap"])
 
 
+def _teams(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of one team after the other; the rows come sorted by team, and one team is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        team = batch.column("team").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(team)) + 1).tolist(), len(team)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column("team")[0].as_py() != team[a]:
+                yield _whole(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _whole(held)
+
+
 def _pack(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _whole(batches)
-        if not c:
-            return
-        window, gap = np.zeros(len(c["row"]), np.int64), np.zeros(len(c["row"]), np.int64)
-        for team in np.unique(c["team"]):
-            at = np.flatnonzero(c["team"] == team)
-            at = at[np.lexsort((c["part"][at], c["row"][at]))]
+        for c in _teams(batches):
+            window = np.zeros(len(c["row"]), np.int64)
+            at = np.lexsort((c["part"], c["row"]))
             window[at] = best_fit_decreasing(c["tokens"][at], capacity)
-            gap[at] = window[at].max() + 1 - _bound(c["tokens"][at], capacity)
-            window[at] += team << 32
-        yield _emit(c, window, gap)
+            gap = np.full(len(window), window.max() + 1 - _bound(c["tokens"], capacity))
+            yield _emit(c, window + (c["team"] << 32), gap)
 
     return run
 
@@ -114,20 +126,15 @@ def _repack(capacity: int):
     """Windows of several groups packed anew; the old ones stay where that takes as few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _whole(batches)
-        if not c:
-            return
-        window, gap = c["window"].copy(), np.zeros(len(c["row"]), np.int64)
-        for team in np.unique(c["team"]):
-            at = np.flatnonzero(c["team"] == team)
-            at = at[np.lexsort((c["part"][at], c["row"][at]))]
-            old = np.unique(window[at])
+        for c in _teams(batches):
+            window = c["window"].copy()
+            at = np.lexsort((c["part"], c["row"]))
+            old = np.unique(window)
             new = best_fit_decreasing(c["tokens"][at], capacity)
             used = min(len(old), int(new.max()) + 1)
             if new.max() + 1 < len(old):
                 window[at] = old[new]  # names of windows that these documents held before
-            gap[at] = used - _bound(c["tokens"][at], capacity)
-        yield _emit(c, window, gap)
+            yield _emit(c, window, np.full(len(window), used - _bound(c["tokens"], capacity)))
 
     return run
 
@@ -153,7 +160,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
     groups = max(1, -(-rest.count() // GROUP))
     team = F.pmod(F.xxhash64("row", "part"), F.lit(groups))
     parts = min(groups, 10_000)
-    packed = settle(rest.withColumn("team", team).repartition(parts, "team").mapInArrow(_pack(capacity), _KIND))
+    packed = settle(rest.withColumn("team", team).repartition(parts, "team").sortWithinPartitions("team").mapInArrow(_pack(capacity), _KIND))
     done: list[DataFrame] = []
     for r in range(ROUNDS):
         if groups < 2:
@@ -165,7 +172,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
         groups = max(1, -(-groups // POOLED))
         # a group's loose windows go to one pool together
         pool = F.pmod(F.xxhash64(F.shiftright("window", 32), F.lit(r)), F.lit(groups))
-        packed = settle(marked.where(loose).drop("fill", "gap").withColumn("team", pool).repartition(min(groups, 10_000), "team").mapInArrow(_repack(capacity), _KIND))
+        packed = settle(marked.where(loose).drop("fill", "gap").withColumn("team", pool).repartition(min(groups, 10_000), "team").sortWithinPartitions("team").mapInArrow(_repack(capacity), _KIND))
     for d in done:
         packed = packed.unionByName(d)
     windows = packed.select("doc_id", "part", (F.col("part").cast("long") * capacity).alias("first"), "tokens", F.concat(F.lit("g"), F.shiftright("window", 32), F.lit("-"), F.col("window").bitwiseAND(0xFFFFFFFF)).alias("window"))
