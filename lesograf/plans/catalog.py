@@ -717,9 +717,9 @@ def decoded_trees(spark, d):
     ids, heads = F.transform("tokens", lambda t: t["id"]), F.transform("tokens", lambda t: t["head_id"])
     n = F.size("tokens")
     whole = (F.size(F.filter(heads, lambda h: h == 0)) == 1) & (F.size(F.filter(heads, lambda h: h.isNull() | (h > n))) == 0) & (ids == F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
-    s = V.parsed(spark, d).where((n > 0) & F.coalesce(whole, F.lit(False))).where(profile.depth_v3(F.col("tokens")) > 0)
+    s = V.parsed(spark, d).withColumn("tokens", F.array_sort(F.transform("tokens", lambda t: F.struct(t["id"].alias("id"), t["head_id"].alias("head_id"))))).where((n > 0) & F.coalesce(whole, F.lit(False))).where(profile.depth_v3(F.col("tokens")) > 0)
     matrix = F.transform("tokens", lambda h: F.transform("tokens", lambda t: F.when((t["head_id"] == h["id"]) | (t["head_id"] == 0) & (t["id"] == h["id"]), 5.0).otherwise(0.0)))
-    found = s.select("sent_key", matrix.alias("scores")).select("sent_key", udfs.tree_heads("scores").alias("heads")).select("sent_key", F.posexplode("heads").alias("i", "h"))
+    found = s.select("sent_key", matrix.alias("scores")).mapInArrow(udfs.tree_rows, "sent_key bigint, heads array<int>").select("sent_key", F.posexplode("heads").alias("i", "h"))
     return found.select("sent_key", (F.col("i") + 1).alias("id"), F.when(F.col("h") == F.col("i"), 0).otherwise(F.col("h") + 1).alias("head_id"))
 
 

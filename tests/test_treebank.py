@@ -353,6 +353,17 @@ def test_decoded_trees_against_all_trees():
             assert sum(p[h, d] for d, h in enumerate(got) if d != root) == pytest.approx(max(best, 0.0))
 
 
+def test_decoded_trees_twice_in_a_session(spark, tmp_path):
+    """Each call gives the stored trees, whatever the order of the tokens."""
+    from lesograf.plans import catalog
+
+    trees = {1: [(2, 0), (1, 2), (3, 2)], 2: [(1, 2), (2, 1), (3, 0)], 3: [(1, 0), (2, None)], 4: []}
+    sents(spark, [(k, "a", "t", [tok(*t) for t in v]) for k, v in trees.items()]).write.parquet(f"{tmp_path}/sentences.parquet")
+    for _ in range(2):
+        got = catalog.queries()["decoded_trees"](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == [(1, 1, 2), (1, 2, 0), (1, 3, 2)]
+
+
 def _chain(heads, d, n):
     out = [d]
     for _ in range(n):
