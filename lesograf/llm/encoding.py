@@ -16,7 +16,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,6 @@ UTF8_BITS = 5.0  # that a valid reading as UTF-8 saves
 SINGLE_BITS, AGAIN_BITS = 1.0, 8.0  # that an exchange of single-byte sets costs, and a second one besides
 LAST = 1e6  # puts two exchanges on end behind everything else
 PLAUSIBLE = 5.2  # bits a letter up to which a regular word is not searched
-MAX_FORMS = 200_000  # bound of the sample that the trigrams are learned from
 MAX_KNOWN = 20_000_000  # reference forms that a worker holds, 8 bytes each
 MEMO = 300_000
 
@@ -95,24 +94,30 @@ class Forms:
         return v
 
 
+def gram_counts(forms: Iterable[str]) -> tuple[Counter, Counter]:
+    """How often each trigram of words and each character occurs in the forms."""
+    three, one = Counter(), Counter()
+    for form in forms:
+        one.update(form)
+        for w in _WORD.findall(form):
+            s = f"^^{w}$"
+            three.update(s[i - 2 : i + 1] for i in range(2, len(s)))
+    return three, one
+
+
 class Plausibility:
-    """Bits that a text costs under trigrams of correct forms, and the set of all forms."""
+    """Bits that a text costs under trigrams of correct forms, and the set of all forms.
+
+    ``counts``: those of ``gram_counts``, where the forms were counted elsewhere."""
 
-    def __init__(self, forms: list[str], known: Forms | None = None):
+    def __init__(self, forms: list[str], known: Forms | None = None, counts: tuple[Counter, Counter] | None = None):
         self.known = frozenset(forms) if known is None else known
-        three, two, seen = Counter(), Counter(), {1: set(), 2: set(), 3: set()}
-        for form in forms:
-            for w in _WORD.findall(form):
-                s = f"^^{w}$"
-                for i in range(2, len(s)):
-                    three[s[i - 2 : i + 1]] += 1
-                    two[s[i - 2 : i]] += 1
-                for c in w:
-                    if (k := _script(c)) in seen:
-                        seen[k].add(c)
-        one = Counter()
-        for form in forms:
-            one.update(form)
+        three, one = gram_counts(forms) if counts is None else counts
+        two, seen = Counter(), {1: set(), 2: set(), 3: set()}
+        for t, n in three.items():
+            two[t[:2]] += n
+            if t[2] != "$" and (k := _script(t[2])) in seen:
+                seen[k].add(t[2])
         total = sum(one.values()) or 1
         self.one = {c: -math.log2(n / total) for c, n in one.items()}
         self.base = {k: math.log2(len(v) + 30) + 3 for k, v in seen.items()}
@@ -652,12 +657,25 @@ def bounded(forms: DataFrame) -> DataFrame:
     return forms
 
 
-def learn(forms: DataFrame, sample: int = MAX_FORMS) -> Plausibility:
-    """The cost model, its trigrams from at most ``sample`` forms by hash, and the set of all forms."""
-    rows = forms.where("form IS NOT NULL").select(F.lower("form").alias("form")).distinct()
-    kept = [r["form"] for r in rows.orderBy(F.xxhash64("form")).limit(sample).collect()]
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``gram, n``: the counts of one task; a trigram has three characters, a character one."""
+    three, one = gram_counts(f for batch in batches for f in batch.column("form").to_pylist())
+    grams = [*three.items(), *one.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in grams], pa.string()), pa.array([n for _, n in grams], pa.int64())], names=["gram", "n"])
+
+
+def learn(forms: DataFrame, tasks: int | None = None) -> Plausibility:
+    """The cost model, its trigrams counted over all forms (by ``tasks`` tasks), and the set of all forms.
+
+    What reaches the driver is one row a distinct trigram or character, and the hashes."""
+    rows = settle(forms.where("form IS NOT NULL").select(F.lower("form").alias("form")).distinct())  # read twice
+    spread = rows.repartition(tasks) if tasks else rows
+    grams = spread.mapInArrow(_counts, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    three, one = Counter(), Counter()
+    for g, n in sorted(zip(grams["gram"], grams["n"])):
+        (one if len(g) == 1 else three)[g] = n
     hashes = bounded(rows).select(F.xxhash64("form").alias("h")).toArrow()["h"].to_numpy()
-    return Plausibility(sorted(kept), Forms(hashes))
+    return Plausibility([], Forms(hashes), (three, one))
 
 
 def restore(text: str, spans: list[tuple[int, int, str | None]]) -> str | None:

@@ -376,6 +376,15 @@ def test_no_form_is_left_out(spark):
     assert all(f"слово{i}" in model.known for i in range(3000)) and "слово3000" not in model.known
 
 
+def test_trigrams_of_all_forms(spark):
+    """The costs come from every form, however many there are and whoever counts them."""
+    forms = spark.range(210_000).selectExpr("concat('слово', translate(cast(id AS string), '0123456789', 'абвгдежзик')) AS form").unionByName(spark.createDataFrame([("Naïve-Ünï2 x", ), ("",), (None,)], "form string"))
+    texts = sorted({r["form"].lower() for r in forms.collect() if r["form"] is not None})
+    want = encoding.Plausibility(texts)
+    for model in (encoding.learn(forms), encoding.learn(forms, 3)):
+        assert (model.bits, model.new, model.one, model.base) == (want.bits, want.new, want.one, want.base)
+
+
 def test_garbled_records(spark, forms):
     bad = "ЛНРНП"  # мотор
     s = spark.createDataFrame([(1, f"Он читал {bad} Б доме"), (2, "Он спал"), (3, None), (4, ""), (5, "пЁя│ �")], "sent_key bigint, text string").withColumn("spans", F.lit(1))
