@@ -4,8 +4,9 @@ Spaced scripts: the terminators of a text (with closing marks) are the nodes of
 gets a score from its left context (abbreviation, initial, unit, ellipsis), its right context (case,
 opening word, dash of direct speech) and its depth in quotes and brackets; each edge between two
 gaps gets a penalty if the stretch can't be a unit by itself. The best path through the lattice is
-the segmentation. Scripts without blanks are cut at end marks; the lattice of dictionary words around
-a gap (final particle before it, opening word after it) raises its score but decides none. Scripts
+the segmentation. Scripts without blanks are cut at end marks; the cheapest path through the lattice of
+dictionary words after the mark decides whether the sentence goes on instead: with a particle, or with
+a clause that names the speaker, and not with a longer word that only begins like one. Scripts
 without end marks are cut at blanks between their letters and at the end marks that stand outside
 numbers and abbreviations.
 """
@@ -34,11 +35,25 @@ MAYBE = frozenset("руб коп тыс млн млрд кг г гг в вв с
 UNITS = frozenset("руб коп тыс млн млрд кг см км мм м мин сек ч чел долл экз".split())
 # Month names after a German ordinal.
 MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split())
-# Own word list: verbs that name the speaker after a quotation in scripts without blanks, and particles that go on.
-GO_ON = ("と", "って", "は", "が", "を", "に", "の", "も", "他说", "她说", "我说", "他问", "她问", "他道", "她道", "说", "问", "道", "喊")
-# Own word lists: words that open a sentence and particles that close one, for the word lattice.
-OPENING = frozenset("昨日 今日 明日 午後に 午前 そして しかし 祖父 老人 少年 医者 私 彼 彼女 昨天 今天 明天 下午 上午 在 我们 我 他 她 你 那个 这个 年轻 老 但是 然后 因为".split())
-FINAL = frozenset("た だ る です ます ない か ね よ った 了 吗 呢 吧 的 啊 เลย ครับ ค่ะ นะ แล้ว".split())
+# Own word lists of scripts without blanks, for the word lattice: particles that go on after a quotation
+# (QUOTATIVE after any exclamation or question), speakers, verbs that name them, what may follow these, denials.
+QUOTATIVE = frozenset("と って".split())
+PARTICLES = QUOTATIVE | frozenset("は が を に の も".split())
+SPEAKERS = frozenset("他 她 我 他们 她们 我们".split())
+SPEECH = frozenset("说 问 道 喊".split())
+AFTER_SPEECH = frozenset("着 了 过".split())
+DENIALS = frozenset("没 没有 不 未 别".split())
+# Words that only begin or end like those.
+LONGER = frozenset(
+    """
+    とても とある とうとう とにかく とりあえず とはいえ ところが ところで ところ ともかく とき とっくに となり とたん とおり
+    はい はじめ はじめて はっきり はやく はるか はず もう もし もしも もしかして もちろん もっと もともと もの もはや もうすぐ
+    のち のんびり にっこり にわかに にもかかわらず がっかり がんばれ がんばって がんばろう
+    说明 说法 说话 说不定 说实话 说起来 说到底 小说 学说 传说 据说 听说 再说 难说 问题 问候 学问 疑问 访问 提问 顾问 慰问
+    道路 道理 道德 道具 道歉 道教 知道 味道 街道 频道 报道 难道 管道 轨道 隧道 跑道 通道 渠道 铁道 喊声 明天 明年 明白 明明
+    """.split()
+)
+_WORDS = PARTICLES | SPEAKERS | SPEECH | AFTER_SPEECH | DENIALS | LONGER
 
 _OPEN, _CLOSE = "«‘『「（([【《", "»’』」）)]】》"
 _PAIR = dict(zip(_CLOSE, _OPEN))
@@ -63,6 +78,9 @@ _ORDINAL = re.compile(r"\b(?:[Dd](?:er|ie|as|en|em|es)|[Aa]m|[Ii]m|[Vv]om|[Zz]um
 # Words that number a heading.
 _HEADING = re.compile(r"(?:^|\n)\s*(?:Глава|Часть|Раздел|Том|Chapter|Part|Section|Kapitel|Teil|Chapitre)\s+\d{1,3}$")
 _FAR = 60
+_CLAUSE_MAX = 16
+_KANA = re.compile(r"[ぁ-ヿ]")
+_CLAUSE = re.compile(r"\w{1,%d}" % _CLAUSE_MAX)
 
 
 def _quotes(text: str) -> list[tuple[int, int]]:
@@ -131,7 +149,7 @@ def _read(text: str) -> list[str]:
     for i in range(n):
         for k in range(1, min(6, n - i) + 1):
             w = text[i : i + k]
-            cost = 0.5 if w in OPENING or w in FINAL else 1.5 if k == 1 else None
+            cost = 0.5 if w in _WORDS else 1.5 if k == 1 else None
             if cost is not None and best[i][0] + cost < best[i + k][0]:
                 best[i + k] = (best[i][0] + cost, i)
     out, i = [], n
@@ -141,18 +159,25 @@ def _read(text: str) -> list[str]:
     return out[::-1]
 
 
-def _caseless_gap(left: str, right: str, closed: bool) -> float:
-    """Score of a gap before a letter without case, negative where the sentence goes on: particles and
-    opening words of the word lattice raise it, but no gap depends on them."""
-    if closed and right.startswith(GO_ON):
-        return -5.0
-    score = 2.0
-    if right and _read(right[:8])[0] in OPENING:
-        score += 1.0
-    words = _read(left[-8:])
-    if words and words[-1] in FINAL:
-        score += 1.0
-    return score
+def _caseless_gap(term: str, right: str, closed: bool) -> float | None:
+    """Score of a gap before a letter without case; None where the sentence goes on, as the words of the
+    lattice after it tell. After a closing mark that is a particle, or in a clause without kana a verb of
+    speech at the beginning, after the speaker or at the end; else a quotative after ``！`` and ``？``."""
+    clause = _CLAUSE.match(right)
+    if clause is None or not (closed or "！" in term or "？" in term):
+        return 2.0
+    words = _read(clause[0])
+    if not closed:
+        return None if words[0] in QUOTATIVE and len(words) > 1 else 2.0
+    if words[0] in PARTICLES:
+        return None
+    if not _KANA.search(clause[0]) and not right.startswith(("：", ":"), clause.end()):  # a colon: it names who speaks next
+        if words[words[0] in SPEAKERS and len(words) > 1] in SPEECH:
+            return None
+        whole = clause.end() < _CLAUSE_MAX and DENIALS.isdisjoint(words)
+        if whole and words[-2 if len(words) > 1 and words[-1] in AFTER_SPEECH else -1] in SPEECH:
+            return None
+    return 2.0
 
 
 class Segmenter:
@@ -285,9 +310,7 @@ class Segmenter:
         opened = after.lstrip("«„“\"'‘(（[「『—–-¿¡ ")
         c = opened[0] if opened else ""
         if strong:
-            if closed and _CASELESS.match(c or "x"):
-                return self._positive(_caseless_gap(left, opened, True))
-            return 4.0 if not _CASELESS.match(c or "x") else self._positive(_caseless_gap(left, opened, False))
+            return _caseless_gap(term, opened if nxt == c else "", closed) if _CASELESS.match(c or "x") else 4.0
         if tight and not (closed and c):
             # without a blank: a new sentence after a word, no address, number or pair of initials
             if not (c.isupper() and nxt == c or _CASELESS.match(nxt)) and nxt not in "«„“\"—":
@@ -322,10 +345,6 @@ class Segmenter:
             return None
         return 3.0
 
-    @staticmethod
-    def _positive(score: float) -> float | None:
-        return score if score > 0 else None
-
     @staticmethod
     def _abbreviation(part: str, t: int, word: str, opened: str) -> str:
         """'never', 'maybe' or '' for the word before a period."""

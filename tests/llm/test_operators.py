@@ -273,6 +273,37 @@ def test_blanks_beside_marks(parts):
     assert got == parts
 
 
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["「本当だ！」", "とても嬉しかった。"],
+        ["「本当だ！」と言った。", "夜が来た。"],
+        ["「来ない。」", "もう遅い。"],
+        ["「来ない。」", "はじめて泣いた。"],
+        ["「来ない。」は嘘だ。"],
+        ["「着いた。」", "道を歩く。"],
+        ["火事だ！と叫んだ。", "誰も来ない。"],
+        ["火事だ！", "とても怖い。"],
+        ["終わった。", "とある町に着いた。"],
+        ["“你好！”老师笑着说。", "天黑了。"],
+        ["“你好！”小王大声喊道。"],
+        ["“你好！”", "老师笑着说：“天黑了。”"],
+        ["“你好！”", "他说：“天黑了。”"],
+        ["“你好！”", "小说出版了。"],
+        ["“你好！”", "问题很多。"],
+        ["“你好！”", "道路很长。"],
+        ["“你好！”他说明天来。"],
+        ["“你好！”", "他说明了原因。"],
+        ["“你好！”", "老师什么也没说。"],
+        ["“你好！”", "我不知道。"],
+        ["“你好！”", "“说吧！”"],
+    ],
+)
+def test_words_after_a_mark_decide(parts):
+    text = "".join(parts)
+    assert [text[a:b] for a, b in sentences.Segmenter().units(text)] == parts
+
+
 def test_units_hold_every_character():
     rng = random.Random(4)
     alphabet = list("аБв .!?…\n\"«»—-()1г。」「 ก")
