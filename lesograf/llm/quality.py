@@ -8,11 +8,12 @@ and the verdict that the score gives.
    languages x statistics x (LEVELS + 1) rows, whatever the number of texts, and no task ever holds
    the texts of a language.
 3. The score is the weighted sum of -ln p over the low and high tail probabilities p of all statistics.
-   Texts whose language can't be told are ranked among all; a language of few rows borrows some from
-   the whole collection. A text from MIN_SCORE on is no prose: nothing else decides.
+   Texts whose language can't be told are ranked among all; with every language the exact shares of the
+   whole collection count as much as BORROWED rows. A text from MIN_SCORE on is no prose: nothing else decides.
 
-The weights and the threshold are parameters: they were fitted once by logistic regression on 20,000
-sentences, labelled by a check for clauses, then rounded.
+Ranks, the character model and the lexicon count all rows; nothing is drawn from them. The weights and
+the threshold are parameters that no run fits: they were fitted once by logistic regression on all 20,000
+sentences of sf0.1, labelled by a check for clauses, then rounded.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ STATISTICS = {
     "clauseless": (0.0, 0.8), "distinct": (1.1, 0.0), "repeated": (0.0, 0.5), "strung": (0.0, 0.1), "titles": (0.0, 1.2), "sentence": (1.9, 0.0), "strangeness": (0.0, 0.8), "unspoken": (0.0, 1.3),
 }
 MIN_SCORE = 16.5  # from which a text is no prose
-BORROWED = 200  # rows of the whole collection that count with every language
+BORROWED = 200  # rows as much as which the shares of the whole collection count with every language
 ALL, NONE = "*", "-"
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-‐'’̀-ͯ]+[^\W\d_]+)*")
@@ -229,7 +230,7 @@ def _rows(model: Plausibility, lexicon: Lexicon):
 
 
 def lexicon(sentences: DataFrame, forms: DataFrame) -> tuple[Plausibility, Lexicon]:
-    """The character model, and language, share of finite verbs and of function words of every form.
+    """The character model of all forms, and language, share of finite verbs and of function words of every form.
 
     The shares come from the tags of all parsed sentences. Of a form with several languages the first
     in order counts."""
@@ -284,8 +285,8 @@ def tails(measured: DataFrame) -> DataFrame:
 
 
 def score_tables(tail: list) -> dict[str, np.ndarray]:
-    """language -> what each step of each statistic adds to the score. BORROWED rows of the whole
-    collection count with every language, so that one of few rows has tails as well."""
+    """language -> what each step of each statistic adds to the score. The exact shares of the whole collection
+    count as much as BORROWED rows with every language, so that one of few rows has tails as well."""
     index = {s: i for i, s in enumerate(STATISTICS)}
     whole = {(r["statistic"], r["step"]): (r["low"], r["high"]) for r in tail if r["language"] == ALL}
     tables: dict[str, np.ndarray] = {}

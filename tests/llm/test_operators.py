@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lesograf.llm import confusables, consensus, encoding, langid, mixing, packing, quality, sentences, splitting, termfreq, tokencount
 from lesograf.llm.seeds import SEEDS
+from lesograf.schema import TOKEN
 
 TOKENS = "array<struct<id:int,text:string,lemma:string,pos:string,feats:string,head_id:int,rel:string,start_char:int,end_char:int>>"
 FORMS = "почтальон работал старый лампа уже и в на он она мы спали читал книгу дом окно из по я не это сегодня вчера город снег мотор около школа без общества новый вопрос открыла дорогу правду вот так нет сказала окна школе дома".split()
@@ -150,6 +151,18 @@ def test_quality_verdicts(spark):
     assert quality.quality(df.limit(0), forms).count() == 0
 
 
+def test_strangeness_comes_from_all_forms(spark):
+    """A word is as strange as all forms make it, also where there are more than 200,000 of them."""
+    digits = lambda text, to: f"translate(cast({text} AS string), '0123456789', '{to}')"
+    forms = spark.range(210_000).selectExpr(f"concat('сл', {digits('id', 'абвгдежзик')}) AS form", "'ru' AS lang")
+    s = spark.createDataFrame([(1, "слабвгде щщыщъ слкккк", None)], f"sent_key bigint, text string, tokens array<{TOKEN}>")
+    model, words = quality.lexicon(s, forms)
+    got = quality.Measurer(model, words).measure("слабвгде щщыщъ слкккк")
+    whole = encoding.Plausibility(sorted(r["form"] for r in forms.collect()), model.known)
+    assert got == quality.Measurer(whole, words).measure("слабвгде щщыщъ слкккк")
+    assert [model.word(w) for w in ("слабвгде", "щщыщъ", "слкккк")] == [whole.word(w) for w in ("слабвгде", "щщыщъ", "слкккк")]
+
+
 def test_the_score_decides(spark):
     d = "/root/testdata/sf0.001"
     s, forms = spark.read.parquet(f"{d}/sentences.parquet"), spark.read.parquet(f"{d}/word_forms.parquet")
